@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeloom.llm.membership import split
 from edgeloom.llm.text import word_count
 from edgeloom.storage import Scratch
 
@@ -64,7 +65,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     scratch = Scratch(docs.sparkSession)
     gone = scratch.save(repeated_lines(docs, id_col, text_col, min_words, scratch)).select(F.col("id").alias("_id"), F.col("th").alias("_th"), "gone")
-    d = docs.withColumn("_h", F.xxhash64(text_col))
-    d = d.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
+    free, held = split(docs, id_col, text_col, gone)
+    d = held.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    return d.withColumn(text_col, F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(kept)).withColumn("removed_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).drop("_h", "_id", "_th", "gone")
+    d = d.withColumn(text_col, F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(kept)).withColumn("removed_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
+    return free.withColumn("removed_lines", F.lit(0).cast("long")).unionByName(d.drop("_id", "_th", "gone")).drop("_h")
