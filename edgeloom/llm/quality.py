@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.llm.membership import without
 from edgeloom.llm.text import field_type, map_arrow, text_bytes
 from edgeloom.storage import Scratch
 
@@ -143,9 +144,8 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """The rows of ``docs`` that are kept; rows with equal id, text and language share one verdict."""
+    """The rows of ``docs`` that are kept; of rows with equal id and text all go if one is rejected (their languages may differ)."""
     scratch = Scratch(docs.sparkSession)
     gone = quality_scores(docs, id_col, text_col, lang_col, keep_hash=True, **options).filter("not kept")
-    gone = scratch.save(gone.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("lang").alias("_lang")).distinct())
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")) & F.col(lang_col).cast("string").eqNullSafe(F.col("_lang"))
-    return docs.join(gone, same, "left_anti")
+    gone = scratch.save(gone.select(F.col("id").alias("_id"), F.coalesce("th", F.xxhash64(F.lit(None).cast("string"))).alias("_th")).distinct())
+    return without(docs, id_col, text_col, gone).drop("_h")

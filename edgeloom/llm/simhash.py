@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeloom.llm.membership import without
 from edgeloom.llm.text import field_type, map_arrow, text_bytes
 from edgeloom.operators.components import component_labels
 from edgeloom.storage import Scratch
@@ -205,11 +206,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` without near-duplicates: of each class the row of least id stays; null ids come last, and of rows
     that agree in id and class one stays."""
     scratch = Scratch(docs.sparkSession)
-    classes = simhash_classes(docs, id_col, text_col, keep_hash=True, **options)
+    classes = scratch.save(simhash_classes(docs, id_col, text_col, keep_hash=True, **options))
     heads = classes.filter(F.col("id").eqNullSafe(F.col("component_id")))
     first = F.row_number().over(Window.partitionBy("class_fp").orderBy("th"))
     stay = scratch.save(heads.withColumn("_n", first).filter("_n = 1").select(F.col("id").alias("_id"), F.col("th").alias("_th")))
-    kept = docs.withColumn("_h", F.xxhash64(text_col)).join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
+    rows = classes.select(F.col("id").alias("_id"), F.col("th").alias("_th"))
+    gone = scratch.save(rows.join(stay.withColumnsRenamed({"_id": "_i", "_th": "_t"}), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left_anti"))
+    kept = without(docs, id_col, text_col, gone)
     repeated = heads.groupBy("id", "th").count().filter("count > 1").limit(1).count() > 0
     if repeated:
         kept = kept.dropDuplicates([id_col, "_h"])
