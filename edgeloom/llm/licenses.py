@@ -36,7 +36,11 @@ def shingle_hashes(words: Column, n: int = SHINGLE) -> Column:
 
 def band_minima(hashes: Column, bands: int) -> Column:
     """For each band the least value of its own rehash, with the shingle that has it."""
-    return F.array(*(F.array_min(F.transform(hashes, lambda x, b=b: F.struct(F.xxhash64(x, F.lit(b)).alias("v"), x.alias("h")))) for b in range(bands)))
+
+    def rehashed(band: int):
+        return lambda x: F.struct(F.xxhash64(x, F.lit(band)).alias("v"), x.alias("h"))
+
+    return F.array(*(F.array_min(F.transform(hashes, rehashed(b))) for b in range(bands)))
 
 
 def license_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, bands: int = BANDS, containment: float = CONTAINMENT) -> DataFrame:
