@@ -14,9 +14,9 @@ from edgeloom.llm.text import field_type, fold, map_arrow, text_bytes
 
 #: At most about so many labelled training rows of either class are used to fit the field.
 FIT_ROWS = 1000
-#: A word of toxic training documents is labelled toxic from so many standard deviations over its expected number of contexts.
-SIGMAS = 4.5
-LEVELS = (2.0, 3.0, SIGMAS)
+#: A mark (word or stem) of toxic training documents is suspicious from so many standard deviations over its expected count
+#: and so many times it; there may be several levels.  A suspicious word of a toxic document is labelled toxic, of a clean one clean.
+LEVELS = ((4.0, 20.0),)
 EPOCHS = 60
 TABLE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -28,8 +28,8 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def marks(word: bytes) -> set[bytes]:
-    """A word and its stems of 4 to 6 bytes, the latter with a star."""
-    return {word, *(word[:k] + b"*" for k in (4, 5, 6) if len(word) >= k)}
+    """A word and its stems of 4 to 9 bytes, the latter with a star."""
+    return {word, *(word[:k] + b"*" for k in range(4, min(len(word), 9) + 1))}
 
 
 class ChainCRF:
@@ -144,26 +144,30 @@ def fit_field(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     in_places = tuple(Counter(m for _, w, _ in s for m in marks(w)) for s in places)
     ratios = [max(int(y.sum()), 1) / max(int((1 - y).sum()), 1), max(len(places[1]), 1) / max(len(places[0]), 1)]
 
-    def sigma(mark: bytes) -> float:
+    def level(mark: bytes) -> int:
         seen = [(c[1][mark], rho * c[0][mark], rho) for c, rho in ((in_docs, ratios[0]), (in_places, ratios[1]))]
-        return min((a - e) / math.sqrt(a + rho * e) if a > 3 * e else 0.0 for a, e, rho in seen)
+        return min(max([0, *(n for n, (sigmas, odds) in enumerate(LEVELS, 1) if a > odds * e and a - e >= sigmas * math.sqrt(a + rho * e))]) for a, e, rho in seen)
 
     # a stem speaks for a family of words: where one word makes up most of it, that word alone is the mark
     leader = Counter()
     for w in (m for m in in_docs[1] if not m.endswith(b"*")):
         for m in marks(w) - {w}:
             leader[m] = max(leader[m], in_docs[1][w])
-    levels = {m: n for m in sorted(in_docs[1]) if in_docs[1][m] >= 5 and 2 * leader[m] <= in_docs[1][m] and (n := sum(sigma(m) >= x for x in LEVELS)) >= 2}
+    levels = {m: n for m in sorted(in_docs[1]) if in_docs[1][m] >= 5 and 2 * leader[m] <= in_docs[1][m] and (n := level(m))}
     field = ChainCRF(levels, 1 + len(LEVELS))
     ids = [np.array([field.bucket(w) for w in t], np.int64) for t in texts]
-    tags = [np.array(label * (i == len(LEVELS)), np.int64) for i, label in zip(ids, y)]
+    tags = [np.array(label * (i > 0), np.int64) for i, label in zip(ids, y)]
     field.fit(ids, tags)
+    # the sample holds a larger share of the toxic rows than of the clean ones
+    share = [max(int((y == label).sum()), 1) / max(sizes.get(label, 0), 1) for label in (0, 1)]
+    field.emit[1:] += math.log(share[0] / share[1])
     return field
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
-    """``(id_col, held_out, score, predicted, spans)`` for each row.  The score is the highest marginal of the toxic tag in the
-    text; spans are the byte offsets (end exclusive) of runs of words whose marginal reaches the threshold, in the UTF-8 text.
+    """``(id_col, held_out, score, predicted, spans)`` for each row.  The score is the probability that some suspicious word of
+    the text is toxic, from the marginals of the toxic tag (without such a word: the highest marginal); spans are the byte
+    offsets (end exclusive) of runs of words whose marginal reaches the threshold, in the UTF-8 text.
 
     Only texts are scored on; labels are read for fitting alone.  Null and empty texts have no word and score 0.  Repeated rows
     are scored each; null ids are in no held-out fold but 0's; without labels or toxic labels every score is low.
@@ -175,9 +179,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         words = tokens(text)
         if field.heads.isdisjoint({w[:4] for w in words}):
             return plain[min(len(words), 64)], []
-        p = field.marginals([field.bucket(w) for w in words])
+        ids = [field.bucket(w) for w in words]
+        p = field.marginals(ids)
+        clean = math.prod(1 - x for x, k in zip(p, ids) if k)
         spans: list[list[int]] = []
-        if max(p) >= threshold:
+        if 1 - clean >= threshold:
             last = -2
             for i, m in enumerate(TOKEN.finditer(text)):
                 if p[i] >= threshold:
@@ -186,7 +192,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                     else:
                         spans.append([m.start(), m.end()])
                     last = i
-        return max(p), spans
+        return max(1 - clean, plain[min(len(words), 64)]), spans
 
     def run(batches):
         for b in batches:
