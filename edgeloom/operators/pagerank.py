@@ -11,10 +11,16 @@ from edgeloom.operators.graph import Graph, degrees
 from edgeloom.operators.khop import check_threads
 from edgeloom.storage import Scratch
 
+#: Out-edges of one node in one slice.
+HUB = 1_000_000
 
-def pagerank(graph: Graph, iterations: int = 20, damping: float = 0.85, top: int = 0, threads: int | None = None) -> DataFrame:
+
+def pagerank(graph: Graph, iterations: int = 20, damping: float = 0.85, top: int = 0, threads: int | None = None, hub: int = HUB) -> DataFrame:
     """``(node, rank)``; ``top`` keeps the best ranks, equal ranks by node id.
 
+    Links are laid out once in buckets of their source, so a round shuffles ranks and partial sums but never the links.  A
+    node of more than ``hub`` out-edges is cut into slices, which fall into different buckets; its rank is sent to each.
+
     A node without out-edges is linked to the null target, so one aggregation a round gives both the gathered shares and
     the dangling mass; only that one number goes to the driver.
     """
@@ -27,21 +33,25 @@ def pagerank(graph: Graph, iterations: int = 20, damping: float = 0.85, top: int
     check_threads(threads)
     spark = graph.edges.sparkSession
     scratch = Scratch(spark)
-    nodes = scratch.save(graph.nodes.select(F.col("id").alias("node")))
-    n = nodes.count()
-    if not n:
-        return nodes.select("node", F.lit(0.0).alias("rank"))
     out = degrees(graph.edges)
-    links = graph.edges.join(out, graph.edges.src == out.id).select("src", F.col("dst").alias("to"), "degree")
-    loose = nodes.join(out, nodes.node == out.id, "left_anti").select(F.col("node").alias("src"), F.lit(None).cast("long").alias("to"), F.lit(1).cast("long").alias("degree"))
-    links = scratch.save(links.unionByName(loose).sortWithinPartitions("src"))
-    rank, old = nodes.select("node", F.lit(1.0 / n).alias("rank")), None
+    state = graph.nodes.join(out.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
+    state = scratch.save(state.select(F.col("id").alias("node"), "degree", F.ceil(F.coalesce("degree", F.lit(1)) / hub).cast("int").alias("slices")))
+    n = state.count()
+    if not n:
+        return state.select("node", F.lit(0.0).alias("rank"))
+    links = graph.edges.join(state, graph.edges.src == state.node).select("src", F.pmod(F.xxhash64("dst"), F.col("slices")).cast("int").alias("slice"), F.col("dst").alias("to"))
+    loose = state.filter("degree is null").select(F.col("node").alias("src"), F.lit(0).alias("slice"), F.lit(None).cast("long").alias("to"))
+    links = scratch.bucketed(links.unionByName(loose), "src", "slice")
+    rank, old = state.withColumn("rank", F.lit(1.0 / n)), None
     for _ in range(iterations):
-        shares = links.join(rank, links.src == rank.node).groupBy("to").agg(F.sum(F.col("rank") / F.col("degree")).alias("gathered"))
+        given = rank.select("node", (F.col("rank") / F.coalesce("degree", F.lit(1))).alias("share"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+        shares = links.join(given, (links["src"] == given["node"]) & (links["slice"] == given["slice"])).groupBy("to").agg(F.sum("share").alias("gathered"))
         shares = scratch.save(shares)
         loose_row = shares.filter("to is null").first()
         base = (1.0 - damping) / n + damping * (loose_row["gathered"] if loose_row else 0.0) / n
-        rank = nodes.join(shares, nodes["node"] == shares["to"], "left").select("node", (F.lit(base) + F.lit(damping) * F.coalesce("gathered", F.lit(0.0))).alias("rank"))
+        rank = state.join(shares, state["node"] == shares["to"], "left").select(*state.columns, (F.lit(base) + F.lit(damping) * F.coalesce("gathered", F.lit(0.0))).alias("rank"))
         scratch.drop(old)
         old = shares
+    scratch.drop(links)
+    rank = rank.select("node", "rank")
     return rank.orderBy(F.desc("rank"), "node").limit(top) if top else rank

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
 _live: dict[str, SparkSession] = {}
+_tables: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    name = _tables.pop(path, None)
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -59,6 +63,20 @@ class Scratch:
         out._edgeloom_path = path
         return out
 
+    def bucketed(self, df: DataFrame, *keys: str) -> DataFrame:
+        """Like ``save``, laid out in buckets of ``keys``, as many as there are shuffle partitions, one file each: joins on the
+        keys then read the table where it lies and only the other side is shuffled."""
+        path = f"{self.root}/{self._n}"
+        self._n += 1
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"spark_catalog.default.edgeloom_{uuid.uuid4().hex}"
+        laid = df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+        laid.option("path", path).saveAsTable(name)
+        _live[path], _tables[path] = self.spark, name
+        out = self.spark.table(name)
+        out._edgeloom_path = path
+        return out
+
     def drop(self, *frames: DataFrame | None) -> None:
         for df in frames:
             path = getattr(df, "_edgeloom_path", None)

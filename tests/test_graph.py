@@ -109,3 +109,29 @@ def test_undirected_delete_either_way(spark):
 def test_errors(spark, call, text):
     with pytest.raises(ValueError, match=text):
         call(graph(spark, [(1, 2)]))
+
+
+def test_pagerank_of_sliced_hubs(spark):
+    """A hub cut into slices gives the same ranks, and no round shuffles the links."""
+    edges = [(0, i) for i in range(1, 40)] + [(i, i % 7) for i in range(1, 30)] + [(50, 50)]
+    g = graph(spark, edges)
+    whole = {r["node"]: r["rank"] for r in pagerank(g, 6).collect()}
+    cut = {r["node"]: r["rank"] for r in pagerank(g, 6, hub=4).collect()}
+    assert whole.keys() == cut.keys() and max(abs(whole[k] - cut[k]) for k in whole) < 1e-12
+    assert pagerank(graph(spark, [(None, 1)]), 3).count() == 0
+
+
+def test_bucketed_tables_join_in_place(spark):
+    from edgeloom import storage
+
+    scratch = storage.Scratch(spark)
+    held = scratch.bucketed(spark.range(1000).selectExpr("id % 10 AS k", "id AS v"), "k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = held.join(spark.range(10).withColumnRenamed("id", "k"), "k")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    assert held.count() == 1000
+    scratch.drop(held)
+    assert not [t for t in spark.catalog.listTables("spark_catalog.default") if t.name.startswith("edgeloom_")]
