@@ -194,7 +194,7 @@ class GraphEngine:
         self._unload(graph)
         at = self.catalog.snapshot_dir(graph, sid)
         edges, nodes = (self.spark.read.parquet(f"{at}/{t}").persist() for t in ("edges", "nodes"))
-        g = Graph(edges, nodes, r["directed"], r["weight_col"] is not None, r["in_equals_out"])
+        g = Graph(edges, nodes, r["directed"], r["weight_col"] is not None, r["in_equals_out"], closed=True, fixed=True)
         self._loaded[graph] = (sid, g)
         return g
 

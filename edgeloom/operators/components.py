@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.operators import small
 from edgeloom.operators.graph import Graph
 from edgeloom.storage import Scratch
 
@@ -46,7 +47,10 @@ def component_labels(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def components(graph: Graph) -> DataFrame:
     """``(node, component)``: weakly connected, labelled by the least node id; isolated nodes label themselves."""
-    labels = component_labels(graph.edges, "src", "dst")
+    found, adj = small.links(graph, "out", Scratch(graph.edges.sparkSession), nodes=True)
+    if found:
+        return small.component_rows(graph, found)
+    labels = component_labels(adj, "u", "v")
     nodes = graph.nodes.select(F.col("id").alias("node"))
     return nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 

@@ -26,7 +26,8 @@ class Graph:
     """Distinct directed edges with a node table.
 
     ``undirected`` graphs hold every edge in both orientations, so all three directions read the same edges.
-    ``in_equals_out`` says the same of a directed graph whose table stores both orientations.
+    ``in_equals_out`` says the same of a directed graph whose table stores both orientations.  In a ``closed`` graph every
+    node is an end of an edge; the tables of a ``fixed`` one (a snapshot) never change.
     """
 
     edges: DataFrame
@@ -35,6 +36,8 @@ class Graph:
     weighted: bool = False
     in_equals_out: bool = False
     checks: dict = field(default_factory=dict)
+    closed: bool = False
+    fixed: bool = False
 
     @classmethod
     def from_edges(cls, df: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None, directed: bool = True) -> Graph:
@@ -44,7 +47,7 @@ class Graph:
         if not directed:
             raw = mirrored(raw)
         edges = raw.groupBy("src", "dst").agg(F.min("w").alias("w")) if weight else raw.dropDuplicates(["src", "dst"])
-        return cls(edges, endpoints(edges), directed, bool(weight), not directed)
+        return cls(edges, endpoints(edges), directed, bool(weight), not directed, closed=True)
 
     def adjacency(self, direction: str = "out") -> DataFrame:
         """``(u, v, w)``: from u one step leads to v."""

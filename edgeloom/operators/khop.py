@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.operators.graph import Graph
+from edgeloom.operators import small
+from edgeloom.operators.graph import Graph, check_direction
 from edgeloom.storage import Scratch
 
 
@@ -36,14 +37,18 @@ def start_requests(graph: Graph, starts) -> DataFrame:
     return out.dropna()
 
 
-def _levels(graph: Graph, seeds: DataFrame, depth: int, direction: str) -> DataFrame:
+def _levels(graph: Graph, seeds: DataFrame, depth: int, direction: str, one: bool = False) -> DataFrame:
     """``(start, node, hops)`` for distinct starts."""
-    adj = graph.adjacency(direction).select("u", "v")
     first = seeds.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("hops"))
     if depth == 0:
         return first
     scratch = Scratch(seeds.sparkSession)
-    adj = scratch.save(adj) if depth > 1 else adj
+    if depth == 1:
+        adj = graph.adjacency(direction).select("u", "v")
+    else:
+        found, adj = small.links(graph, direction, scratch)
+        if found:
+            return small.level_rows(found, seeds, depth, False, False, one)
     frontier = seen = scratch.save(first)
     for hop in range(1, depth + 1):
         step = frontier.join(adj, frontier.node == adj.u).select("start", F.col("v").alias("node")).distinct()
@@ -85,7 +90,7 @@ def khop(graph: Graph, starts, depth: int, *, exact: bool = False, direction: st
     graph.adjacency(direction)
     requests = start_requests(graph, starts)
     seeds = requests.distinct()
-    rows = _limited(graph, seeds, depth, direction, max_results, exact) if max_results else _levels(graph, seeds, depth, direction)
+    rows = _limited(graph, seeds, depth, direction, max_results, exact) if max_results else _levels(graph, seeds, depth, direction, isinstance(starts, int))
     if exact and not max_results:
         rows = rows.filter(F.col("hops") == depth)
     return _per_request(rows, requests, starts)
@@ -101,7 +106,14 @@ def _per_request(rows: DataFrame, requests: DataFrame, starts) -> DataFrame:
 
 def khop_count(graph: Graph, starts, depth: int, *, exact: bool = False, direction: str = "out", max_results: int = 0, threads: int | None = None) -> DataFrame:
     """``(start, hops, nodes)``: one row for each request and level that is not empty."""
+    _validate(depth, max_results)
+    check_threads(threads)
+    check_direction(direction)
     requests = start_requests(graph, starts)
+    if depth > 1 and not max_results:
+        found, _ = small.links(graph, direction, Scratch(graph.edges.sparkSession))
+        if found:
+            return _per_request(small.level_rows(found, requests.distinct(), depth, exact, True, isinstance(starts, int)), requests, starts)
     rows = khop(graph, requests.distinct(), depth, exact=exact, direction=direction, max_results=max_results, threads=threads)
     counts = rows.groupBy("start", "hops").agg(F.count(F.lit(1)).alias("nodes"))
     return _per_request(counts, requests, starts)

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.operators import small
 from edgeloom.operators.graph import Graph, degrees
 from edgeloom.operators.khop import check_threads
 from edgeloom.storage import Scratch
@@ -33,13 +34,17 @@ def pagerank(graph: Graph, iterations: int = 20, damping: float = 0.85, top: int
     check_threads(threads)
     spark = graph.edges.sparkSession
     scratch = Scratch(spark)
-    out = degrees(graph.edges)
+    found, adj = small.links(graph, "out", scratch, nodes=True)
+    if found:
+        return best(small.rank_rows(graph, found, iterations, damping), top)
+    edges = adj.select(F.col("u").alias("src"), F.col("v").alias("dst"))
+    out = degrees(edges)
     state = graph.nodes.join(out.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
     state = scratch.save(state.select(F.col("id").alias("node"), "degree", F.ceil(F.coalesce("degree", F.lit(1)) / hub).cast("int").alias("slices")))
     n = state.count()
     if not n:
         return state.select("node", F.lit(0.0).alias("rank"))
-    links = graph.edges.join(state, graph.edges.src == state.node).select("src", F.pmod(F.xxhash64("dst"), F.col("slices")).cast("int").alias("slice"), F.col("dst").alias("to"))
+    links = edges.join(state, edges["src"] == state["node"]).select("src", F.pmod(F.xxhash64("dst"), F.col("slices")).cast("int").alias("slice"), F.col("dst").alias("to"))
     loose = state.filter("degree is null").select(F.col("node").alias("src"), F.lit(0).alias("slice"), F.lit(None).cast("long").alias("to"))
     links = scratch.bucketed(links.unionByName(loose), "src", "slice")
     rank, old = state.withColumn("rank", F.lit(1.0 / n)), None
@@ -53,5 +58,8 @@ def pagerank(graph: Graph, iterations: int = 20, damping: float = 0.85, top: int
         scratch.drop(old)
         old = shares
     scratch.drop(links)
-    rank = rank.select("node", "rank")
+    return best(rank.select("node", "rank"), top)
+
+
+def best(rank: DataFrame, top: int) -> DataFrame:
     return rank.orderBy(F.desc("rank"), "node").limit(top) if top else rank

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.operators import small
 from edgeloom.operators.graph import Graph
 from edgeloom.operators.khop import check_threads
 from edgeloom.storage import Scratch
@@ -47,7 +48,7 @@ def shortest_path(graph: Graph, start=None, target=None, *, pairs: DataFrame | N
     wanted = requests.distinct()
     same = wanted.filter("start = target").select(*KEY, F.lit(0).cast("long").alias("hop_no"), F.col("start").alias("node"))
     others = wanted.filter("start <> target")
-    rows = _by_weight(graph, others, direction) if weighted else _by_hops(graph, others, direction, max_depth)
+    rows = _by_weight(graph, others, direction) if weighted else _by_hops(graph, others, direction, max_depth, pairs is None)
     rows = same.unionByName(rows)
     if pairs is None:
         return rows
@@ -55,9 +56,11 @@ def shortest_path(graph: Graph, start=None, target=None, *, pairs: DataFrame | N
     return rows.join(times, KEY).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*rows.columns)
 
 
-def _by_hops(graph: Graph, requests: DataFrame, direction: str, max_depth: int) -> DataFrame:
+def _by_hops(graph: Graph, requests: DataFrame, direction: str, max_depth: int, one: bool = False) -> DataFrame:
     scratch = Scratch(requests.sparkSession)
-    adj = scratch.save(graph.adjacency(direction).select("u", "v"))
+    found, adj = small.links(graph, direction, scratch)
+    if found:
+        return small.path_rows(found, requests, max_depth, one)
     null = F.lit(None).cast("long")
     frontier = scratch.save(requests.select(*KEY, F.col("start").alias("node"), null.alias("parent")))
     levels = [frontier]

@@ -20,3 +20,13 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(params=["small", "distributed"])
+def plan(request, spark):
+    """Both plans of a graph operator: the one for graphs of a checked small size and the one for all others."""
+    from edgeloom.operators.small import CONF, LOCAL_EDGES
+
+    spark.conf.set(CONF, str(LOCAL_EDGES if request.param == "small" else 0))
+    yield request.param
+    spark.conf.unset(CONF)
