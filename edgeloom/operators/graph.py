@@ -49,11 +49,15 @@ class Graph:
         edges = raw.groupBy("src", "dst").agg(F.min("w").alias("w")) if weight else raw.dropDuplicates(["src", "dst"])
         return cls(edges, endpoints(edges), directed, bool(weight), not directed, closed=True)
 
+    def leads_back(self, direction: str) -> bool:
+        """Whether the adjacency holds the reverse of each of its links."""
+        return direction == "both" or self.in_equals_out or not self.directed
+
     def adjacency(self, direction: str = "out") -> DataFrame:
         """``(u, v, w)``: from u one step leads to v."""
         check_direction(direction)
         out = self.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), "w")
-        if direction == "out" or self.in_equals_out or not self.directed:
+        if direction == "out" or self.leads_back("out"):
             return out
         back = self.edges.select(F.col("dst").alias("u"), F.col("src").alias("v"), "w")
         if direction == "in":

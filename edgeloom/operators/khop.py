@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.operators import small
 from edgeloom.operators.graph import Graph, check_direction
+from edgeloom.operators.layout import Layout
 from edgeloom.storage import Scratch
 
 
@@ -49,14 +50,21 @@ def _levels(graph: Graph, seeds: DataFrame, depth: int, direction: str, one: boo
         found, adj = small.links(graph, direction, scratch)
         if found:
             return small.level_rows(found, seeds, depth, False, False, one)
-    frontier = seen = scratch.save(first)
+        adj = Layout(adj, scratch)
+    frontier = all_rows = scratch.save(first)
+    before = None
     for hop in range(1, depth + 1):
-        step = frontier.join(adj, frontier.node == adj.u).select("start", F.col("v").alias("node")).distinct()
+        step = frontier.join(adj, frontier.node == adj.u) if depth == 1 else adj.step(frontier)
+        step = step.select("start", F.col("v").alias("node")).distinct()
+        # where every link also leads back, only the last two levels can be met again
+        seen = all_rows if not graph.leads_back(direction) else frontier if before is None else frontier.unionByName(before)
         new = scratch.save(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop).cast("long")))
         if new.isEmpty():
             break
-        seen, frontier = seen.unionByName(new), new
-    return seen
+        all_rows, frontier, before = all_rows.unionByName(new), new, frontier
+    if depth > 1:
+        adj.drop()
+    return all_rows
 
 
 def _limited(graph: Graph, seeds: DataFrame, depth: int, direction: str, k: int, exact: bool) -> DataFrame:

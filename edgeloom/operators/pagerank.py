@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 from edgeloom.operators import small
 from edgeloom.operators.graph import Graph, degrees
 from edgeloom.operators.khop import check_threads
+from edgeloom.operators.layout import HUB
 from edgeloom.storage import Scratch
 
-#: Out-edges of one node in one slice.
-HUB = 1_000_000
-
 
 def pagerank(graph: Graph, iterations: int = 20, damping: float = 0.85, top: int = 0, threads: int | None = None, hub: int = HUB) -> DataFrame:
     """``(node, rank)``; ``top`` keeps the best ranks, equal ranks by node id.

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.operators import small
 from edgeloom.operators.graph import Graph
 from edgeloom.operators.khop import check_threads
+from edgeloom.operators.layout import Layout
 from edgeloom.storage import Scratch
 
 KEY = ["start", "target"]
@@ -61,25 +64,28 @@ def _by_hops(graph: Graph, requests: DataFrame, direction: str, max_depth: int,
     found, adj = small.links(graph, direction, scratch)
     if found:
         return small.path_rows(found, requests, max_depth, one)
+    adj = Layout(adj, scratch)
     null = F.lit(None).cast("long")
     frontier = scratch.save(requests.select(*KEY, F.col("start").alias("node"), null.alias("parent")))
     levels = [frontier]
-    seen = frontier.select(*KEY, "node")
+    back = graph.leads_back(direction)
     hop, found = 0, []
     while not (max_depth and hop >= max_depth):
         hop += 1
-        step = frontier.join(adj, frontier.node == adj.u).groupBy(*KEY, F.col("v").alias("node")).agg(F.min("u").alias("parent"))
+        step = adj.step(frontier.select(*KEY, "node")).groupBy(*KEY, F.col("v").alias("node")).agg(F.min("u").alias("parent"))
+        # where every link also leads back, only the last two levels can be met again
+        seen = reduce(DataFrame.unionByName, (x.select(*KEY, "node") for x in (levels[-2:] if back else levels)))
         new = scratch.save(step.join(seen, [*KEY, "node"], "left_anti"))
         flags = new.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("node") == F.col("target")).cast("int")), F.lit(0)).alias("hit")).first()
         if not flags["n"]:
             break
         levels.append(new)
-        seen = seen.unionByName(new.select(*KEY, "node"))
         frontier = new
         if flags["hit"]:
             hits = new.filter("node = target")
             found.append((hop, hits))
             frontier = new.join(hits.select(*KEY), KEY, "left_anti")
+    adj.drop()
     out = None
     for length, hits in found:
         at, rows = hits, None

@@ -152,3 +152,15 @@ def test_plans_agree_on_many_requests(spark):
         frames = [khop(g, asked.select("start"), 3, direction="both"), khop_count(g, asked.select("start"), 4), khop_count(g, asked.select("start"), 2, exact=True), shortest_path(g, pairs=asked), shortest_path(g, pairs=asked, max_depth=2, direction="in"), components(g)]
         got.append([sorted(map(tuple, f.collect())) for f in frames])
     assert got[0] == got[1]
+
+
+def test_layout_slices_hubs(spark):
+    from edgeloom.operators.layout import Layout
+    from edgeloom.storage import Scratch
+
+    rows = [(0, i) for i in range(30)] + [(i, i + 1) for i in range(1, 10)]
+    lay = Layout(spark.createDataFrame(rows, "u long, v long"), Scratch(spark), hub=4)
+    assert lay.sliced and lay.links.select("slice").distinct().count() > 1
+    front = spark.createDataFrame([(7, 0), (7, 3), (8, 77)], "start long, node long")
+    assert sorted((r["start"], r["u"], r["v"]) for r in lay.step(front).collect()) == sorted([(7, 0, i) for i in range(30)] + [(7, 3, 4)])
+    lay.drop()
