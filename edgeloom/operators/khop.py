@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.operators import small
 from edgeloom.operators.graph import Graph, check_direction
-from edgeloom.operators.layout import Layout
+from edgeloom.operators.layout import Layout, laid_out
 from edgeloom.storage import Scratch
 
 
@@ -68,24 +68,32 @@ def _levels(graph: Graph, seeds: DataFrame, depth: int, direction: str, one: boo
 
 
 def _limited(graph: Graph, seeds: DataFrame, depth: int, direction: str, k: int, exact: bool) -> DataFrame:
-    """The first k rows of each request in discovery order: by parent's place, outgoing before incoming, neighbour id."""
+    """The first k rows of each request in discovery order: by parent's place, outgoing before incoming, neighbour id.
+
+    A node's place is the way it was first reached, as an array: arrays of one level compare as discovery goes, so no level is
+    ranked in one task.  A request that has its k rows is not searched on.
+    """
     adj = graph.adjacency("out").select("u", "v", F.lit(0).alias("side")) if direction != "in" else graph.adjacency("in").select("u", "v", F.lit(1).alias("side"))
     if direction == "both" and graph.directed and not graph.in_equals_out:
         adj = adj.unionByName(graph.adjacency("in").select("u", "v", F.lit(1).alias("side")))
     scratch = Scratch(seeds.sparkSession)
-    adj = scratch.save(adj)
-    place = lambda *by: F.row_number().over(Window.partitionBy("start").orderBy(*by)).cast("long")
-    seen = frontier = scratch.save(seeds.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("hops"), F.lit(1).cast("long").alias("ord")))
+    adj = laid_out(scratch.save(adj), scratch, small.limit(graph))
+    root = F.array(F.struct(F.lit(0).alias("side"), F.col("start").alias("node")))
+    way = F.concat("ord", F.array(F.struct("side", F.col("v").alias("node"))))
+    seen = frontier = scratch.save(seeds.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("hops"), root.alias("ord")))
     for hop in range(1, depth + 1):
-        step = frontier.join(adj, frontier.node == adj.u).groupBy("start", F.col("v").alias("node")).agg(F.min(F.struct("ord", "side")).alias("o"))
+        step = adj.step(frontier.select("start", "node", "ord")).select("start", "v", way.alias("ord")).groupBy("start", F.col("v").alias("node")).agg(F.min("ord").alias("ord"))
         fresh = step.join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        new = fresh.select("start", "node", F.lit(hop).cast("long").alias("hops"), place("o.ord", "o.side", "node").alias("ord"))
-        new = scratch.save(new)
+        new = scratch.save(fresh.select("start", "node", F.lit(hop).cast("long").alias("hops"), "ord"))
         if new.isEmpty():
             break
-        seen, frontier = seen.unionByName(new), new
+        seen = seen.unionByName(new)
+        full = seen.groupBy("start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+        frontier = new if exact else new.join(full, "start", "left_anti")
+    adj.drop()
     kept = seen.filter(F.col("hops") == depth) if exact else seen
-    return kept.withColumn("_r", place("hops", "ord")).filter(F.col("_r") <= k).select("start", "node", "hops")
+    place = F.row_number().over(Window.partitionBy("start").orderBy("hops", "ord"))
+    return kept.withColumn("_r", place).filter(F.col("_r") <= k).select("start", "node", "hops")
 
 
 def khop(graph: Graph, starts, depth: int, *, exact: bool = False, direction: str = "out", max_results: int = 0, threads: int | None = None) -> DataFrame:

@@ -11,6 +11,23 @@ from edgeloom.storage import Scratch
 HUB = 1_000_000
 
 
+class Plain:
+    """A small adjacency as it is: Spark broadcasts it, or moves little."""
+
+    def __init__(self, adj: DataFrame):
+        self.links = adj
+
+    def step(self, front: DataFrame) -> DataFrame:
+        return front.join(self.links, front["node"] == self.links["u"])
+
+    def drop(self) -> None:
+        pass
+
+
+def laid_out(adj: DataFrame, scratch: Scratch, small: int) -> Plain | Layout:
+    return Plain(adj) if adj.count() <= small else Layout(adj, scratch)
+
+
 class Layout:
     """Rows ``(u, slice, ...)`` in buckets of node and slice.  The links of a node with more than ``hub`` of them are cut into
     slices, which fall into different buckets; there are at most links / hub such nodes."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from edgeloom.operators import small
 from edgeloom.operators.graph import Graph
 from edgeloom.operators.khop import check_threads
-from edgeloom.operators.layout import Layout
+from edgeloom.operators.layout import Layout, laid_out
 from edgeloom.storage import Scratch
 
 KEY = ["start", "target"]
@@ -111,22 +111,24 @@ def distances(graph: Graph, requests: DataFrame, direction: str = "out", scratch
     Labels dearer than the best known one of the target are not expanded.
     """
     scratch = scratch or Scratch(requests.sparkSession)
-    adj = scratch.save(graph.adjacency(direction))
+    table = scratch.save(graph.adjacency(direction))
+    adj = laid_out(table, scratch, small.limit(graph))
     zero = F.struct(F.lit(0.0).alias("dist"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast("long").alias("parent"))
     labels = frontier = scratch.save(requests.select(*KEY, F.col("start").alias("node"), zero.alias("l")))
     while True:
         bound = labels.filter("node = target").select(*KEY, F.col("l.dist").alias("bound"))
         live = frontier.join(bound, KEY, "left").filter("bound is null or l.dist < bound or (l.dist = bound and node <> target)")
-        reached = live.join(adj, live.node == adj.u)
+        reached = adj.step(live.select(*KEY, "node", "l"))
         step = reached.select(*KEY, F.col("v").alias("node"), F.struct((F.col("l.dist") + F.col("w")).alias("dist"), (F.col("l.hops") + 1).alias("hops"), F.col("u").alias("parent")).alias("l"), "w")
         if graph.checks.get("negative") is None:
-            graph.checks["negative"] = adj.filter("w < 0").limit(1).count() > 0
+            graph.checks["negative"] = table.filter("w < 0").limit(1).count() > 0
         if graph.checks["negative"] and step.filter("w < 0").limit(1).count():
             raise ValueError("negative edge weight")
         best = step.groupBy(*KEY, "node").agg(F.min("l").alias("n"))
         better = best.join(labels, [*KEY, "node"], "left").filter("l is null or n.dist < l.dist or (n.dist = l.dist and (n.hops < l.hops or (n.hops = l.hops and n.parent < l.parent)))")
         frontier = scratch.save(better.select(*KEY, "node", F.col("n").alias("l")))
         if frontier.isEmpty():
+            adj.drop()
             return labels
         old = labels.join(frontier.select(*KEY, "node"), [*KEY, "node"], "left_anti")
         after = scratch.save(old.unionByName(frontier))

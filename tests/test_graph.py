@@ -164,3 +164,30 @@ def test_layout_slices_hubs(spark):
     front = spark.createDataFrame([(7, 0), (7, 3), (8, 77)], "start long, node long")
     assert sorted((r["start"], r["u"], r["v"]) for r in lay.step(front).collect()) == sorted([(7, 0, i) for i in range(30)] + [(7, 3, 4)])
     lay.drop()
+
+
+def test_first_rows_in_discovery_order(spark):
+    """Plain Python: the front in discovery order, neighbours out before in, by id; the first k rows of each request."""
+    rnd = random.Random(9)
+    edges = {(rnd.randrange(60), rnd.randrange(60)) for _ in range(150)}
+    out, back = defaultdict(list), defaultdict(list)
+    for a, b in sorted(edges):
+        out[a].append(b)
+    for b, a in sorted((b, a) for a, b in edges):
+        back[b].append(a)
+    for both, exact, k in ((False, False, 7), (True, False, 12), (True, True, 5)):
+        want = []
+        for start in (3, 11):
+            rows, front, seen = [(start, start, 0)], [start], {start}
+            for hop in (1, 2, 3):
+                new = []
+                for u in front:
+                    for v in out[u] + (back[u] if both else []):
+                        if v not in seen:
+                            seen.add(v)
+                            new.append(v)
+                rows += [(start, v, hop) for v in new]
+                front = new
+            want += [r for r in rows if not exact or r[2] == 3][:k]
+        got = khop(graph(spark, list(edges)), [3, 11], 3, exact=exact, direction="both" if both else "out", max_results=k)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
