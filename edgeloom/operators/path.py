@@ -123,6 +123,7 @@ def distances(graph: Graph, requests: DataFrame, direction: str = "out", scratch
         if graph.checks.get("negative") is None:
             graph.checks["negative"] = table.filter("w < 0").limit(1).count() > 0
         if graph.checks["negative"] and step.filter("w < 0").limit(1).count():
+            adj.drop()
             raise ValueError("negative edge weight")
         best = step.groupBy(*KEY, "node").agg(F.min("l").alias("n"))
         better = best.join(labels, [*KEY, "node"], "left").filter("l is null or n.dist < l.dist or (n.dist = l.dist and (n.hops < l.hops or (n.hops = l.hops and n.parent < l.parent)))")
