@@ -58,6 +58,12 @@ def _lifted(v: np.ndarray, norm2: float) -> np.ndarray:
     return np.hstack([v, np.sqrt(np.maximum(norm2 - (v * v).sum(1), 0))[:, None]])
 
 
+def _asking(v: np.ndarray) -> np.ndarray:
+    """A query's place among lifted vectors: with 0 as its last component its squared distance to a lifted vector is
+    |q|^2 + norm2 - 2 * score, whatever the query's own norm."""
+    return np.hstack([v, np.zeros((len(v), 1))])
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, floor: np.ndarray, own: np.ndarray, k: int):
     """Of each row the k highest scores of at least ``floor``, ties to smaller ids; a query's own id is left out."""
     for i in range(len(scores)):
@@ -75,7 +81,7 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str =
 
     Queries are the rows whose id is divisible by ``query_every``; candidates all rows of another id.  Index: pivots are fit on
     at most about ``sample`` vectors; every vector is keyed by its nearest pivot and its ring, the distance to the pivot in
-    steps.  Vectors are lifted to equal norm, so a score bounds a distance.  A query first searches one block of its home ring;
+    steps.  Vectors are lifted to equal norm and queries by 0, so a score bounds a distance.  A query first searches one block of its home ring;
     its k-th score there gives a radius, and by the triangle inequality only rings with ``|d(q,p) - d(x,p)|`` within it are
     expanded, from all pivots.  Within a block the same bound picks the annulus from the sorted distances.  Rings with many
     rows are dealt out in blocks, queries too, so a very common vector does not gather in one task.
@@ -145,7 +151,7 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str =
                         keys.append(np.array([number[r] + int(salt[i]) % blocks[r]]))
                         who.append(np.array([i]))
                 else:
-                    d = _distances(_lifted(v, norm2), centres)
+                    d = _distances(_asking(v), centres)
                     floor = np.where(np.isnan(floor), -np.inf, floor)
                     radius = np.sqrt(np.maximum((v * v).sum(1) + norm2 - 2 * floor, 0)) + slack
                     for i in range(len(qid)):
@@ -172,7 +178,7 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str =
                 qs, f = q[s : s + 512], floor[s : s + 512]
                 a, b = 0, len(ids)
                 if not home and np.isfinite(f).all():  # the annulus that any of these queries can reach
-                    d = _distances(_lifted(qs, norm2), centre[None])[:, 0]
+                    d = _distances(_asking(qs), centre[None])[:, 0]
                     r = np.sqrt(np.maximum((qs * qs).sum(1) + norm2 - 2 * f, 0)) + slack
                     a, b = np.searchsorted(dist, (d - r).min()), np.searchsorted(dist, (d + r).max(), side="right")
                 scores = qs @ x[a:b].T

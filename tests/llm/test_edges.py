@@ -95,3 +95,24 @@ def test_lm_groups_sum_to_one(spark):
     assert all(r["score"] < 0 and r["base_score"] < 0 and r["n_known"] <= r["n_tokens"] for r in rows)
     model = lmscore.PitmanYor((lmscore.np.array([0, 0, 1]), lmscore.np.array([0, 1, 2]), lmscore.np.array([5, 3, 9])), [1, 0], (lmscore.np.array([3]), lmscore.np.array([1]), lmscore.np.array([4])), 6)
     assert lmscore.np.allclose(model.sample().sum(axis=1), 1.0)
+
+
+@pytest.mark.parametrize("width", [2, 8])
+def test_topk_mixed_norms(spark, width):
+    """Short queries and a few long candidates; so many rows that rings are pruned."""
+    import numpy as np
+
+    rng = np.random.default_rng(width)
+    x = rng.normal(size=(6000, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[rng.random(len(x)) < 0.01] *= 4
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {}
+    for r in topk.top_k(df).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    v = np.floor(x.astype(float) * 64).astype(int)
+    for q in range(0, len(v), 20):
+        s = v @ v[q]
+        best = [i for i in np.lexsort((np.arange(len(s)), -s))[:21].tolist() if i != q][:20]
+        assert got[q] == {n + 1: (i, s[i]) for n, i in enumerate(best)}
