@@ -23,20 +23,25 @@ BLOCK = 2048
 SHORT_RUN = 64
 
 
-def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash over word shingles, repeats included; no words: 0."""
+def shingle_hashes(text: bytes, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words, in order; fewer words are one shingle, no words none."""
     words = text.lower().split()
     n = len(words)
-    if not n:
-        return 0
     digest = xxhash.xxh64_intdigest
     if n <= shingle:
-        return digest(b" ".join(words), seed)
+        return np.array([digest(b" ".join(words), seed)] if n else [], np.uint64)
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist())], np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
+    """64-bit SimHash over word shingles, repeats included; no words: 0."""
+    hashes = shingle_hashes(text, shingle, seed)
+    if len(hashes) < 2:
+        return int(hashes[0]) if len(hashes) else 0
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -202,11 +207,11 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(by_fp, "fp")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each class the row of least id stays; null ids come last, and of rows
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes_of=simhash_classes, **options) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates, which ``classes_of`` finds: of each class the row of least id stays; null ids come last, and of rows
     that agree in id and class one stays."""
     scratch = Scratch(docs.sparkSession)
-    classes = scratch.save(simhash_classes(docs, id_col, text_col, keep_hash=True, **options))
+    classes = scratch.save(classes_of(docs, id_col, text_col, keep_hash=True, **options))
     heads = classes.filter(F.col("id").eqNullSafe(F.col("component_id")))
     first = F.row_number().over(Window.partitionBy("class_fp").orderBy("th"))
     stay = scratch.save(heads.withColumn("_n", first).filter("_n = 1").select(F.col("id").alias("_id"), F.col("th").alias("_th")))
