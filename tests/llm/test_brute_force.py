@@ -215,6 +215,24 @@ def test_op7_keeps_labelled_good(spark):
     assert all(r["kept"] for r in rows)
 
 
+def test_op7_rejects_labelled_bad(spark):
+    d = "/root/testdata/sf0.1"
+    bad = {r["doc_id"] for r in spark.read.parquet(f"{d}/labels.parquet").filter("quality = 0").collect()}
+    rows = [r for r in QUERIES["op7_quality_rules"](spark, d).collect() if r["doc_id"] in bad and not r["base_failed"] and r["distance"] is not None]
+    assert sum(not r["kept"] for r in rows) > 0.5 * len(rows)
+
+
+def test_op7_language_without_list(spark):
+    """Symbols after words are rejected in a language without common words too."""
+    from edgeloom.llm.quality import quality_scores
+
+    rng = np.random.default_rng(2)
+    text = lambda: ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(120)]
+    rows = [(i, " ".join(text()), "xx") for i in range(40)] + [(40, " ".join(w + " &&&" for w in text()), "xx")]
+    got = {r["id"]: r["kept"] for r in quality_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {i: i < 40 for i in range(41)}
+
+
 def test_op8_repeats_go(spark):
     run = "\n".join(f"line {i} " + " ".join(f"w{i}x{j}" for j in range(18)) for i in range(3))
     texts = {1: "own start\n" + run + "\nown end", 2: "other\n" + run + "\ntail", 3: run.split("\n")[0] + "\nshort", 4: run}
