@@ -15,9 +15,21 @@ from edgeloom.llm.text import field_type, map_arrow, text_bytes
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: White space characters in a row from which a text goes to ``tokenizers``.
+BLANKS = 1000
+
+
+def long_blank(text: str, run: int = BLANKS) -> bool:
+    """Whether ``run`` characters of white space follow each other; half as many may suffice.  Such a run covers one of every
+    ``run``-th places and reaches half its length to one side of it, so only those places are looked at."""
+    half = run // 2
+    return len(text) >= run and any(c.isspace() and (text[i * run : i * run + half].isspace() or text[max(0, i * run - half + 1) : i * run + 1].isspace()) for i, c in enumerate(text[::run]))
+
+
 class Encoder:
     """Token ids by a ``tokenizers`` file.  With the same vocabulary as ranks, ``tiktoken`` gives the same ids several times
-    faster; texts that hold a special token's string go to ``tokenizers``, whose default is to see the token."""
+    faster.  Two kinds of text go to ``tokenizers`` itself: those that hold a special token's string, which it sees by default,
+    and those with a long run of white space, on which the pattern of ``tiktoken`` runs out of stack."""
 
     def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
@@ -36,7 +48,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
-        if self.fast is None or any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special) or long_blank(text):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 

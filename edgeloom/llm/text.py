@@ -48,5 +48,22 @@ def record_batch(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
 
 
+def sealed(df: DataFrame) -> DataFrame:
+    """The columns under the names u0, u1, ..., which no operator uses for its own, so any name and any repeated name may come in."""
+    return df.toDF(*(f"u{i}" for i in range(len(df.columns))))
+
+
+def seal(df: DataFrame, name: str) -> str:
+    """A column's name in ``sealed(df)``."""
+    return f"u{df.columns.index(name)}"
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as make it new to ``df``."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
 def field_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
