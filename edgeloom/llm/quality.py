@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.membership import without
-from edgeloom.llm.text import field_type, map_arrow, text_bytes
+from edgeloom.llm.text import field_type, map_arrow, seal, sealed, text_bytes
 from edgeloom.storage import Scratch
 
 GRAM = 8
@@ -149,8 +149,13 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """The rows of ``docs`` that are kept; of rows with equal id and text all go if one is rejected (their languages may differ)."""
+    """The rows of ``docs`` that are kept; of rows with equal id and text all go if one is rejected (their languages may differ).
+
+    Null and empty texts fail the base rules and go; null ids are compared like any other; an empty table gives an empty one;
+    extra columns, of whatever name, are kept as they are.
+    """
     scratch = Scratch(docs.sparkSession)
     gone = quality_scores(docs, id_col, text_col, lang_col, keep_hash=True, **options).filter("not kept")
     gone = scratch.save(gone.select(F.col("id").alias("_id"), F.coalesce("th", F.xxhash64(F.lit(None).cast("string"))).alias("_th")).distinct())
-    return without(docs, id_col, text_col, gone).drop("_h")
+    kept = without(sealed(docs), seal(docs, id_col), seal(docs, text_col), gone).drop("_h")
+    return kept.toDF(*docs.columns)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.llm.membership import without
-from edgeloom.llm.text import field_type, map_arrow, text_bytes
+from edgeloom.llm.text import field_type, map_arrow, seal, sealed, text_bytes
 from edgeloom.operators.components import component_labels
 from edgeloom.storage import Scratch
 
@@ -208,8 +208,12 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes_of=simhash_classes, **options) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates, which ``classes_of`` finds: of each class the row of least id stays; null ids come last, and of rows
-    that agree in id and class one stays."""
+    """The rows of ``docs`` without near-duplicates, which ``classes_of`` finds: of each class the row of least id stays; null
+    ids come last, and of rows that agree in id and class one stays.
+
+    Null and empty texts are of one class; an empty table gives an empty one; extra columns, of whatever name, are kept as
+    they are.
+    """
     scratch = Scratch(docs.sparkSession)
     classes = scratch.save(classes_of(docs, id_col, text_col, keep_hash=True, **options))
     heads = classes.filter(F.col("id").eqNullSafe(F.col("component_id")))
@@ -217,8 +221,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay = scratch.save(heads.withColumn("_n", first).filter("_n = 1").select(F.col("id").alias("_id"), F.col("th").alias("_th")))
     rows = classes.select(F.col("id").alias("_id"), F.col("th").alias("_th"))
     gone = scratch.save(rows.join(stay.withColumnsRenamed({"_id": "_i", "_th": "_t"}), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left_anti"))
-    kept = without(docs, id_col, text_col, gone)
+    kept = without(sealed(docs), seal(docs, id_col), seal(docs, text_col), gone)
     repeated = heads.groupBy("id", "th").count().filter("count > 1").limit(1).count() > 0
     if repeated:
-        kept = kept.dropDuplicates([id_col, "_h"])
-    return kept.drop("_h")
+        kept = kept.dropDuplicates([seal(docs, id_col), "_h"])
+    return kept.drop("_h").toDF(*docs.columns)

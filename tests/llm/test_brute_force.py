@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from edgeloom.llm import linededup, packing, simhash
 from edgeloom.llm.registry import QUERIES, SQL
@@ -122,6 +123,28 @@ def test_op2_round_trip(spark, sf, docs):
     assert padding < 0.02 * total
 
 
+BLANK = {"spaces": " " * 1_000_000, "newlines": "\n" * 1_000_000, "mixed": " \n\t\r\u2003" * 200_000, "many spaces": " " * 5_000_000, "word": "ab" * 2_500_000, "blanks in text": "a b " * 900 + "\t " * 5000 + "c " * 900}
+
+
+@pytest.mark.parametrize("name", BLANK)
+def test_op2_long_runs(spark, name):
+    """A long run of white space or of one word is packed like any other text, with the ids of the tokenizer's file."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    ids = np.array([*Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(BLANK[name], add_special_tokens=False).ids, 1], "<u4")
+    got = packing.pack(spark.createDataFrame([(1, BLANK[name])], "doc_id long, text string")).orderBy("start").collect()
+    assert sum(r["length"] for r in got) == len(ids) == got[0]["doc_tokens"]
+    assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in got)
+
+
+def test_long_blank_finds_every_run():
+    rng = np.random.default_rng(8)
+    for at in rng.integers(0, 3000, 40).tolist():
+        assert packing.long_blank("x" * at + " " * packing.BLANKS + "y" * 700)
+        assert not packing.long_blank("x" * at + " " * (packing.BLANKS // 2 - 1) + "y" * 2000)
+
+
 def test_karmarkar_karp_is_near_equal():
     sizes = np.random.default_rng(3).integers(1, 512, 900)
     bins, loads = packing.karmarkar_karp(sizes, 64)
@@ -240,6 +263,22 @@ def test_op8_repeats_go(spark):
     assert got == {1: texts[1], 2: "other\ntail", 3: texts[3], 4: ""}
 
 
+def test_op8_fingerprints(spark):
+    """Winnowing selects one line of every run, fewer than there are, and equal runs select the same."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = linededup.lines(d, "doc_id", "text").dropDuplicates(["id", "th", "pos"])
+    w = linededup.windows(rows, 50).cache()
+    assert 0 < w.filter("at is not null").count() < 0.7 * rows.count()
+    assert w.groupBy("c1", "c2").agg({"mark": "min", "*": "count"}).count() == w.select("c1", "c2", "mark").distinct().count()
+
+
+def test_op8_colliding_line_hash(spark, sf):
+    """Fingerprints of a hash with seven values select other lines; what is deleted stays the same."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    a, b = linededup.line_dedup(d), linededup.line_dedup(d, line_hash=lambda c: F.pmod(F.xxhash64(c), F.lit(7)))
+    assert a.exceptAll(b).isEmpty() and not a.filter("removed_lines > 0").isEmpty()
+
+
 def test_op9_base(spark, sf, docs):
     train = {i for i in docs if zlib.crc32(str(i).encode()) % 7 != 2}
     tokens = {i: [*(d["text"] or "").encode().lower().split(), b""] for i, d in docs.items()}

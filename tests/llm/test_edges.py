@@ -3,15 +3,15 @@
 import pytest
 from pyspark.sql import functions as F
 
-from edgeloom.llm import licenses, linededup, lmscore, mixing, packing, quality, simhash, topk, toxicity, urls
+from edgeloom.llm import licenses, linededup, lmscore, mixing, packing, quality, shingles, simhash, topk, toxicity, urls
 
 DOCS = {
     "simhash": lambda d, s: simhash.simhash_classes(d),
     "near_dedup": lambda d, s: simhash.near_dedup(d),
     "pack": lambda d, s: packing.pack(d),
     "licenses": lambda d, s: licenses.license_matches(d),
-    "plan": lambda d, s: mixing.mixing_plan(d.drop("size")),
-    "mix": lambda d, s: mixing.mix(d.drop("size")),
+    "plan": lambda d, s: mixing.mixing_plan(d),
+    "mix": lambda d, s: mixing.mix(d),
     "toxicity": lambda d, s: toxicity.toxicity_scores(d, s.createDataFrame([(1, 1, 1), (5, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")),
     "quality": lambda d, s: quality.quality_scores(d),
     "quality_filter": lambda d, s: quality.quality_filter(d),
@@ -41,11 +41,40 @@ def test_near_dedup_keeps_one_of_each(odd):
 
 
 def test_plan_of_odd_rows(odd):
-    rows = mixing.mixing_plan(odd.drop("size")).collect()
+    rows = mixing.mixing_plan(odd).collect()
     assert all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
     assert abs(sum(r["taken"] for r in rows) - sum(r["size"] for r in rows)) <= 10
 
 
+STAGES = {
+    "mix": mixing.mix,
+    "quality_filter": quality.quality_filter,
+    "near_dedup": simhash.near_dedup,
+    "near_dedup_shingles": lambda d: simhash.near_dedup(d, classes_of=shingles.similar_classes, shingle=5, similarity=0.8),
+    "line_dedup": lambda d: linededup.line_dedup(d, count_col=None),
+}
+OWN = "_b _c _copy _h _i _id _k _l _lang _lid _map _maybe _md5 _n _p _piece _position _r _s _source _t _th _within a at b bits c1 class_fp component_id d e end first fp gone h held id k key line m mark n pos removed_lines s sid size source_size start stopped t taken target th total u0 u1 u9 w w0 w1 wide words x".split()
+
+
+@pytest.mark.parametrize("stage", STAGES)
+def test_clashing_columns(spark, stage):
+    """Columns with every name an operator uses inside keep their values, types and places."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{text} {i % 3}" if i < 6 else f"own {i} " + text[i * 7 :], "en", "ab"[i % 2], 9) for i in range(9)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    more = plain.select(*(F.concat(F.lit(f"{c}="), "doc_id").alias(c) for c in OWN), *plain.columns)
+    got = STAGES[stage](more)
+    assert got.columns == more.columns and got.dtypes == more.dtypes
+    kept = got.collect()
+    assert kept and all(r[c] == f"{c}={r['doc_id']}" for r in kept for c in OWN)
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted((r["doc_id"], r["text"]) for r in STAGES[stage](plain).collect())
+
+
+def test_line_count_column_gives_way(spark):
+    df = spark.createDataFrame([(1, "a", 5)], "doc_id long, text string, removed_lines int")
+    assert [r.asDict() for r in linededup.line_dedup(df).collect()] == [{"doc_id": 1, "text": "a", "removed_lines": 5, "removed_lines_": 0}]
+
+
 def test_urls_odd(spark):
     rows = [(1, None, "h"), (1, None, "h"), (None, "http://A.Example.COM/en/71?x", "h"), (3, "", None), (4, "no scheme/en/", "h"), (5, "x://com/en/#a", "h"), (6, "http://notexample.com/fr/" + "é" * 5000, "h"), (7, "ftp://net?/de/", "h")]
     p = spark.createDataFrame(rows, "page_id long, url string, score string")
