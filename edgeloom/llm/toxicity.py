@@ -1,10 +1,11 @@
-"""Toxicity: a linear-chain conditional random field over words."""
+"""Toxicity: a linear-chain conditional random field over words, learned from documents' labels."""
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import zlib
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -12,13 +13,16 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm.text import field_type, fold, map_arrow, text_bytes
 
-#: At most about so many labelled training rows of either class are used to fit the field.
-FIT_ROWS = 1000
-#: A mark (word or stem) of toxic training documents is suspicious from so many standard deviations over its expected count
-#: and so many times it; there may be several levels.  A suspicious word of a toxic document is labelled toxic, of a clean one clean.
-LEVELS = ((4.0, 20.0),)
-EPOCHS = 60
-TABLE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
+#: At most about so many labelled training rows of either label, of texts of at most so many bytes, are used to fit the field.
+FIT_ROWS, FIT_BYTES = 1200, 8_000
+#: Features are hashed to so many weights; a feature has a weight if so many training documents hold it.
+WEIGHTS, LEAST_DOCS = 1 << 20, 4
+EPOCHS, RIDGE = 40, 0.02
+#: A document's score combines so many of its highest marginals.
+HIGHEST = 8
+#: Distinct words whose features a task holds at once.
+HELD_WORDS = 400_000
+TABLE = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -27,164 +31,275 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().translate(TABLE).split()
 
 
-def marks(word: bytes) -> set[bytes]:
-    """A word and its stems of 4 to 9 bytes, the latter with a star."""
-    return {word, *(word[:k] + b"*" for k in range(4, min(len(word), 9) + 1))}
+def word_features(word: bytes) -> list[int]:
+    """Places of a word's own features: the word, its prefixes and suffixes, the pieces of four bytes inside it, its shape."""
+    n = len(word)
+    names = [b"w" + word, b"l%d" % min(n, 12), b"d%d" % any(48 <= c < 58 for c in word)]
+    names += [b"p" + word[:k] for k in range(3, min(n, 11))]
+    names += [b"s" + word[-k:] for k in range(2, min(n, 5))]
+    names += [b"g" + word[i : i + 4] for i in range(1, n - 4)]
+    return [zlib.crc32(x) % WEIGHTS for x in names]
+
+
+def neighbour_features(word: bytes) -> tuple[int, int]:
+    """Places of the features "follows this word" and "stands before this word"."""
+    return zlib.crc32(b"a" + word) % WEIGHTS, zlib.crc32(b"b" + word) % WEIGHTS
+
+
+def _odds_forward(e: list[float], t: np.ndarray) -> list[float]:
+    """Odds of tag 1 at each place given the places up to it; ``e`` are the odds of the emissions, ``t`` the exp of the transitions."""
+    a, b, c, d = t[0, 0], t[0, 1], t[1, 0], t[1, 1]
+    return list(accumulate(e, lambda x, k: k * (b + x * d) / (a + x * c)))
+
+
+def _odds_backward(e: list[float], t: np.ndarray) -> list[float]:
+    """Ratio of what follows under tag 1 to what follows under tag 0."""
+    a, b, c, d = t[0, 0], t[0, 1], t[1, 0], t[1, 1]
+    return list(accumulate(reversed(e[1:]), lambda y, k: (c + d * (z := k * y)) / (a + b * z), initial=1.0))[::-1]
+
+
+def marginals(scores: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """P(tag 1) of every word by forward and backward passes.  ``scores`` are those of tag 1 over tag 0 of each word,
+    ``trans[i, j]`` that of tag j after tag i."""
+    if not len(scores):
+        return np.zeros(0)
+    e, t = np.exp(np.clip(scores, -40, 40)).tolist(), np.exp(trans)
+    o = np.array(_odds_forward(e, t)) * np.array(_odds_backward(e, t))
+    return o / (1 + o)
+
+
+class Vocabulary(dict):
+    """Words by number; the features of the words met since the last ``clear_features`` are laid end to end."""
+
+    def __init__(self):
+        super().__init__()
+        self.clear_features()
+
+    def clear_features(self) -> None:
+        self.own: list[int] = []
+        self.ends = [0]
+        self.sides: list[tuple[int, int]] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.own += word_features(word)
+        self.ends.append(len(self.own))
+        self.sides.append(neighbour_features(word))
+        return n
+
+
+def training_pass(u: np.ndarray, begin: np.ndarray, trans: np.ndarray):
+    """``(marginals, pair marginals, log P(all clean))`` of documents laid end to end; a place's pair marginals are those of it
+    and the one before.  All documents are stepped at once, the longest first."""
+    lengths = np.diff(np.append(begin, len(u)))
+    order = np.argsort(-lengths, kind="stable")
+    at0, size = begin[order], lengths[order]
+    e, t = np.exp(np.clip(u, -40, 40)), np.exp(trans)
+    f, log_clean = np.empty(len(u)), np.zeros(len(begin))
+    f[at0] = e[at0]
+    live = [int(np.searchsorted(-size, -s)) for s in range(int(size[0]))]  # documents longer than s
+    for s in range(1, int(size[0])):
+        at = at0[: live[s]] + s
+        x = f[at - 1]
+        f[at] = e[at] * (t[0, 1] + x * t[1, 1]) / (t[0, 0] + x * t[1, 0])
+    y = np.ones(len(u))
+    for s in range(int(size[0]) - 1, 0, -1):
+        at = at0[: live[s]] + s
+        z = e[at] * y[at]
+        y[at - 1] = (t[1, 0] + t[1, 1] * z) / (t[0, 0] + t[0, 1] * z)
+    # P(all clean) is the product of P(clean | clean before): 1 / (1 + b / a * emission * what follows)
+    first = np.zeros(len(u), bool)
+    first[begin] = True
+    z = e * y
+    step = np.log1p(np.where(first, z, z * t[0, 1] / t[0, 0]))
+    log_clean = -np.add.reduceat(step, begin)
+    o = f * y
+    one = o / (1 + o)
+    pairs = np.zeros((len(u), 4))
+    i = np.flatnonzero(~first)
+    x = f[i - 1]
+    w = np.stack([np.full(len(i), t[0, 0]), t[0, 1] * z[i], x * t[1, 0], x * t[1, 1] * z[i]], axis=1)
+    pairs[i] = w / w.sum(axis=1, keepdims=True)
+    return one, pairs, log_clean
 
 
 class ChainCRF:
-    """Two tags, 0 clean and 1 toxic.  A word has one feature: its bucket, the highest level among the word and its stems in
-    ``levels``.  ``emit[b]`` is the score of tag 1 over tag 0 in
-    bucket b, ``trans[i, j]`` of tag j after tag i, ``start`` of tag 1 at the begin."""
-
-    def __init__(self, levels: dict[bytes, int], n_buckets: int):
-        self.levels, self.heads = levels, frozenset(m.rstrip(b"*")[:4] for m in levels)
-        self.emit, self.trans, self.start = np.zeros(n_buckets), np.zeros((2, 2)), 0.0
-
-    def bucket(self, word: bytes) -> int:
-        if word[:4] not in self.heads:
-            return 0
-        return max(self.levels.get(m, 0) for m in marks(word))
-
-    def marginals(self, ids: list[int]) -> list[float]:
-        """P(tag 1) of every word, by forward and backward passes over odds."""
-        n = len(ids)
-        e = np.exp(self.emit).tolist()
-        t = np.exp(self.trans)
-        a, b, c, d = t[0, 0], t[0, 1], t[1, 0], t[1, 1]
-        forward, x = [0.0] * n, 0.0
-        for i, k in enumerate(ids):
-            x = e[k] * (math.exp(self.start) if i == 0 else (b + x * d) / (a + x * c))
-            forward[i] = x
-        out, y = [0.0] * n, 1.0
-        for i in range(n - 1, -1, -1):
-            o = forward[i] * y
-            out[i] = o / (1 + o)
-            z = e[ids[i]] * y
-            y = (c + d * z) / (a + b * z)
-        return out
-
-    def _expect(self, ids: np.ndarray, begin: np.ndarray):
-        """Marginals and pair marginals of many documents laid end to end, all documents stepped at once."""
-        lengths = np.diff(np.append(begin, len(ids)))
-        order = np.argsort(-lengths)
-        begin, lengths = begin[order], lengths[order]
-        e, t = np.exp(self.emit)[ids], np.exp(self.trans)
-        f = np.empty(len(ids))
-        f[begin] = e[begin] * math.exp(self.start)
-        live = len(begin)
-        for s in range(1, int(lengths[0])):
-            while live and lengths[live - 1] <= s:
-                live -= 1
-            at = begin[:live] + s
-            x = f[at - 1]
-            f[at] = e[at] * (t[0, 1] + x * t[1, 1]) / (t[0, 0] + x * t[1, 0])
-        y = np.ones(len(ids))
-        for s in range(int(lengths[0]) - 1, 0, -1):
-            live = int(np.searchsorted(-lengths, -s))
-            at = begin[:live] + s
-            z = e[at] * y[at]
-            y[at - 1] = (t[1, 0] + t[1, 1] * z) / (t[0, 0] + t[0, 1] * z)
-        o = f * y
-        one = o / (1 + o)
-        inner = np.ones(len(ids), bool)
-        inner[begin] = False
-        i = np.flatnonzero(inner)
-        z = e[i] * y[i]
-        w = np.stack([np.full(len(i), t[0, 0]), t[0, 1] * z, f[i - 1] * t[1, 0], f[i - 1] * t[1, 1] * z])
-        return one, (w / w.sum(0)).sum(1), inner, begin
-
-    def fit(self, docs: list[np.ndarray], tags: list[np.ndarray], epochs: int = EPOCHS, ridge: float = 1e-6) -> None:
-        """Gradient of the conditional likelihood (observed less expected counts), Adam steps."""
-        pairs = [(d, t) for d, t in zip(docs, tags) if len(d)]
-        if not pairs:
-            return
-        ids, y = np.concatenate([d for d, _ in pairs]), np.concatenate([t for _, t in pairs])
-        begin = np.cumsum([0, *(len(d) for d, _ in pairs)])[:-1]
-        nb, n = len(self.emit), len(ids)
-        inner = np.ones(n, bool)
+    """Two tags, 0 clean and 1 toxic.  The score of tag 1 at a word is the sum of the weights of the word's own features, of
+    the word before and of the word after, and a bias; ``trans[i, j]`` is the score of tag j after tag i."""
+
+    def __init__(self):
+        self.weights, self.bias, self.trans = np.zeros(WEIGHTS, np.float32), -7.0, np.zeros((2, 2))
+        self.slope, self.shift = 1.0, 0.0
+
+    def tables(self, words: Vocabulary) -> np.ndarray:
+        """Scores by word, in rows: of the word itself, of the word before its place, of the word after it."""
+        own = np.add.reduceat(self.weights[np.array(words.own)].astype(float), words.ends[:-1])
+        sides = np.array(words.sides, np.int64)
+        return np.stack([own + self.bias, self.weights[sides[:, 0]], self.weights[sides[:, 1]]])
+
+    def fit(self, docs: list[list[bytes]], toxic: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, ridge: float = RIDGE) -> ChainCRF:
+        """Maximises the conditional likelihood of what the labels say of the tags: in a clean document all words are clean; in a
+        toxic one they are not all clean, which of them is left open.  The gradient is the difference of the expected features
+        under that and under no condition; Adam steps with a ridge towards 0."""
+        keep = [i for i, d in enumerate(docs) if d]
+        if not keep:
+            return self
+        words = Vocabulary()
+        ids = [np.fromiter(map(words.__getitem__, docs[i]), np.int64, len(docs[i])) for i in keep]
+        y, weight = np.asarray(toxic)[keep].astype(bool), np.asarray(weight, float)[keep]
+        begin = np.cumsum([0, *map(len, ids)])[:-1]
+        doc, flat = np.repeat(np.arange(len(ids)), list(map(len, ids))), np.concatenate(ids)
+        inner = np.ones(len(flat), bool)
         inner[begin] = False
         i = np.flatnonzero(inner)
-        seen_pairs = np.bincount(2 * y[i - 1] + y[i], minlength=4).astype(float)
-        seen_emit, seen_start = np.bincount(ids, weights=y, minlength=nb), y[begin].sum()
-        theta, m, v = np.zeros(nb + 5), 0.0, 0.0
-        self.emit[:] = -2.0
-        theta[:nb] = self.emit
+        own_of, sides = np.repeat(np.arange(len(words.sides)), np.diff(words.ends)), np.array(words.sides)
+        own = np.array(words.own)
+        # documents that hold a feature; copies of a document are one
+        shape = np.array([zlib.crc32(x.tobytes()) for x in ids], np.int64)
+        _, fresh = np.unique(shape, return_index=True)
+        new = np.zeros(len(ids), bool)
+        new[fresh] = True
+        held = np.zeros(WEIGHTS, np.int32)
+        for x in (ids[k] for k in np.flatnonzero(new)):
+            u = np.unique(x)
+            held[np.unique(np.concatenate([own[words.ends[w] : words.ends[w + 1]] for w in u.tolist()] + [sides[u].ravel()]))] += 1
+        usable = np.flatnonzero(held >= LEAST_DOCS)
+        # the features with a weight by number; all others share the last place, which stays 0
+        n = len(usable)
+        number = np.full(WEIGHTS, n)
+        number[usable] = np.arange(n)
+        own, sides = number[own], number[sides]
+        own_of, own = own_of[own < n], own[own < n]
+        m1, m2, theta = np.zeros(n + 4), np.zeros(n + 4), np.zeros(n + 4)
+        theta[n + 1] = self.bias
+        total, many = weight.sum(), len(words)
         for step in range(1, epochs + 1):
-            one, expected, _, order = self._expect(ids, begin)
-            g = np.concatenate([seen_emit - np.bincount(ids, weights=one, minlength=nb), seen_pairs - expected, [seen_start - one[begin].sum()]]) / np.concatenate([np.bincount(ids, minlength=nb) ** 0.5 + 1, np.full(4, n**0.5), [len(begin) ** 0.5]])
-            g -= ridge * theta
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            theta = theta + 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-            theta = np.clip(theta, -12, 12)
-            self.emit, self.trans, self.start = theta[:nb], theta[nb : nb + 4].reshape(2, 2), float(theta[-1])
-
-
-def fit_field(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, held_fold: int = 1, folds: int = 3) -> ChainCRF:
-    """Fits on a bounded sample: rows outside the held-out fold, chosen by a hash of their id, ``fit_rows`` of either label as
-    expected.  Words get their tags from the documents' labels: a word that is far more frequent in toxic documents than in
-    clean ones is toxic wherever it stands in a toxic document."""
+            self.trans = np.array([[0.0, 0.0], theta[n + 2 :]])
+            u = (np.bincount(own_of, weights=theta[own], minlength=many) + theta[n + 1])[flat]
+            u[i] += theta[sides[:, 0]][flat[i - 1]]
+            u[i - 1] += theta[sides[:, 1]][flat[i]]
+            one, pairs, log_clean = training_pass(u, begin, self.trans)
+            clean = np.exp(np.minimum(log_clean, -1e-9))
+            more = np.where(y, clean / (1 - clean), -1.0) * weight  # times the unconditioned expectation
+            r = one * more[doc]
+            by_word = [np.bincount(at, weights=r[to], minlength=many) for at, to in ((flat, slice(None)), (flat[i - 1], i), (flat[i], i - 1))]
+            g = np.zeros(n + 4)
+            g[: n + 1] = np.bincount(own, weights=by_word[0][own_of], minlength=n + 1)
+            g[: n + 1] += np.bincount(sides.T.ravel(), weights=np.concatenate(by_word[1:]), minlength=n + 1)
+            g[n] = 0
+            g[n + 1] = r.sum()
+            g[n + 2 :] = (pairs[:, 2:] * more[doc][:, None]).sum(axis=0)
+            g[:n] -= ridge * theta[:n]
+            g[n + 2 :] -= theta[n + 2 :]
+            m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
+            theta += 0.15 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-3 * total / 1000)
+            theta[n + 1] = min(theta[n + 1], -3.0)
+        self.weights[usable] = theta[:n]
+        self.bias, self.trans = float(theta[n + 1]), np.array([[0.0, 0.0], theta[n + 2 :]])
+        return self
+
+
+class Scorer:
+    """Scores texts with a field; the features of the words met are held, up to a fixed number of words."""
+
+    def __init__(self, field: ChainCRF):
+        self.field, self.words = field, Vocabulary()
+        self.tables, self.known = np.zeros((3, 1 << 16)), 0
+
+    def marginals(self, words: list[bytes]) -> np.ndarray:
+        if len(self.words) > HELD_WORDS:
+            self.__init__(self.field)
+        ids = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        if self.known < len(self.words):
+            self._learn()
+        own, before, after = self.tables
+        u = own[ids]
+        u[1:] += before[ids[:-1]]
+        u[:-1] += after[ids[1:]]
+        return marginals(u, self.field.trans)
+
+    def _learn(self) -> None:
+        """Tables of the words met since; room grows by doubling."""
+        n = len(self.words)
+        while n > self.tables.shape[1]:
+            self.tables = np.concatenate([self.tables, np.zeros_like(self.tables)], axis=1)
+        self.tables[:, self.known : n] = self.field.tables(self.words)
+        self.words.clear_features()
+        self.known = n
+
+    def raw(self, p: np.ndarray) -> float:
+        """Log odds that one of the words with the highest marginals is toxic."""
+        if not len(p):
+            return -20.0
+        top = np.partition(p, len(p) - HIGHEST)[-HIGHEST:] if len(p) > HIGHEST else p
+        clean = float(np.log1p(-np.minimum(top, 1 - 1e-9)).sum())
+        return math.log(max(-math.expm1(clean), 1e-9)) - clean
+
+    def score(self, p: np.ndarray) -> float:
+        x = self.field.slope * self.raw(p) + self.field.shift
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) if len(p) else 0.0
+
+
+def calibrate(field: ChainCRF, raw: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> None:
+    """Logistic fit of the label on a document's log odds, by Newton steps; rows weigh as they do in the whole table."""
+    x = np.stack([raw, np.ones(len(raw))], axis=1)
+    theta, y = np.array([1.0, 0.0]), np.asarray(toxic, float)
+    if not len(raw) or y.min() == y.max():
+        return
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        g = x.T @ (weight * (y - p)) - 0.01 * (theta - [1.0, 0.0])
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2)
+        theta = theta + np.clip(np.linalg.solve(h, g), -1, 1)
+    field.slope, field.shift = max(float(theta[0]), 0.05), float(theta[1])
+
+
+def fit_field(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray) -> ChainCRF:
+    """A field fitted on all rows; its scores are calibrated on a third of the rows with a field fitted on the others.  Copies
+    of a text fall into the same part."""
+    docs = [tokens(t) for t in texts]
+    aside = np.array([zlib.crc32(t) % 3 == 0 for t in texts], bool)
+    s = Scorer(ChainCRF().fit([d for d, a in zip(docs, aside) if not a], toxic[~aside], weight[~aside]))
+    raw = np.array([s.raw(s.marginals(d)) for d, a in zip(docs, aside) if a])
+    field = ChainCRF().fit(docs, toxic, weight)
+    calibrate(field, raw, toxic[aside], weight[aside])
+    return field
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, held_fold: int = 1, folds: int = 3) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Texts, labels and weights of a bounded sample: rows outside the held-out fold with a text of at most ``fit_bytes``
+    bytes, chosen by a hash of their id, ``fit_rows`` of either label as expected.  A row weighs as many rows as it stands for."""
     lab = labels.select(F.col(id_col).alias("_lid"), F.col(label_col).cast("int").alias("_y")).dropna().filter(fold(F.col("_lid"), folds) != held_fold)
     sizes = {r["_y"]: r["n"] for r in lab.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0.0)
     for y, n in sizes.items():
         share = F.when(F.col("_y") == y, F.lit(min(1.0, fit_rows / n))).otherwise(share)
     chosen = lab.groupBy("_lid").agg(F.max("_y").alias("_y")).filter(F.pmod(F.xxhash64("_lid"), F.lit(1_000_000)) < share * 1_000_000)
-    # 2 * fit_rows rows as expected, whatever the input's size
-    rows = docs.select(F.col(id_col).alias("_did"), text_bytes(text_col).alias("t")).join(F.broadcast(chosen), F.col("_did") == F.col("_lid")).select("_did", "_y", "t").collect()
+    # 2 * fit_rows rows of fit_bytes bytes at most as expected, whatever the input's size
+    short = docs.select(F.col(id_col).alias("_did"), text_bytes(text_col).alias("t")).filter(F.octet_length("t") <= fit_bytes)
+    rows = short.join(F.broadcast(chosen), F.col("_did") == F.col("_lid")).select("_did", "_y", "t").collect()
     rows.sort(key=lambda r: (str(r["_did"]), bytes(r["t"])))
-    texts, y = [tokens(bytes(r["t"])) for r in rows], np.array([int(r["_y"] == 1) for r in rows], np.int64)
-    # A mark is as significant as it is both among documents and among contexts (word and neighbours): copies of a document
-    # share their contexts, and a long document in one language has many contexts but is one document.
-    places: tuple[set, set] = (set(), set())
-    in_docs: tuple[Counter, Counter] = (Counter(), Counter())
-    for t, label in zip(texts, y):
-        places[label].update(zip([b"", *t[:-1]], t, [*t[1:], b""]))
-        in_docs[label].update(set().union(*map(marks, set(t))))
-    in_places = tuple(Counter(m for _, w, _ in s for m in marks(w)) for s in places)
-    ratios = [max(int(y.sum()), 1) / max(int((1 - y).sum()), 1), max(len(places[1]), 1) / max(len(places[0]), 1)]
-
-    def level(mark: bytes) -> int:
-        seen = [(c[1][mark], rho * c[0][mark], rho) for c, rho in ((in_docs, ratios[0]), (in_places, ratios[1]))]
-        return min(max([0, *(n for n, (sigmas, odds) in enumerate(LEVELS, 1) if a > odds * e and a - e >= sigmas * math.sqrt(a + rho * e))]) for a, e, rho in seen)
-
-    # a stem speaks for a family of words: where one word makes up most of it, that word alone is the mark
-    leader = Counter()
-    for w in (m for m in in_docs[1] if not m.endswith(b"*")):
-        for m in marks(w) - {w}:
-            leader[m] = max(leader[m], in_docs[1][w])
-    levels = {m: n for m in sorted(in_docs[1]) if in_docs[1][m] >= 5 and 2 * leader[m] <= in_docs[1][m] and (n := level(m))}
-    field = ChainCRF(levels, 1 + len(LEVELS))
-    ids = [np.array([field.bucket(w) for w in t], np.int64) for t in texts]
-    tags = [np.array(label * (i > 0), np.int64) for i, label in zip(ids, y)]
-    field.fit(ids, tags)
-    # the sample holds a larger share of the toxic rows than of the clean ones
-    share = [max(int((y == label).sum()), 1) / max(sizes.get(label, 0), 1) for label in (0, 1)]
-    field.emit[1:] += math.log(share[0] / share[1])
-    return field
+    y = np.array([int(r["_y"] == 1) for r in rows], np.int64)
+    return [bytes(r["t"]) for r in rows], y, np.array([max(1.0, sizes[r["_y"]] / fit_rows) for r in rows])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
-    """``(id_col, held_out, score, predicted, spans)`` for each row.  The score is the probability that some suspicious word of
-    the text is toxic, from the marginals of the toxic tag (without such a word: the highest marginal); spans are the byte
-    offsets (end exclusive) of runs of words whose marginal reaches the threshold, in the UTF-8 text.
+    """``(id_col, held_out, score, predicted, spans)`` for each row.  The score is the calibrated probability that one of the
+    eight words with the highest marginals of the toxic tag is toxic, so it does not rise with the mere length of a text;
+    spans are the byte offsets (end exclusive) of runs of words whose marginal reaches the threshold, in the UTF-8 text.
 
-    Only texts are scored on; labels are read for fitting alone.  Null and empty texts have no word and score 0.  Repeated rows
-    are scored each; null ids are in no held-out fold but 0's; without labels or toxic labels every score is low.
+    No words are labelled, only documents: the field is fitted on a bounded sample of them (``labelled_sample``) with the tags
+    of toxic documents left open but for one.  Only texts are scored on; labels are read for fitting alone.  Null and empty
+    texts have no word and score 0.  Repeated rows are scored each; null ids are in no held-out fold but 0's; without labels
+    or toxic labels every score is low; an empty table gives no rows; other columns are not read.
     """
-    field = fit_field(docs, labels, id_col, text_col, **options)
-    plain = [max(field.marginals([0] * n), default=0.0) for n in range(65)]
-
-    def score(text: bytes) -> tuple[float, list]:
-        words = tokens(text)
-        if field.heads.isdisjoint({w[:4] for w in words}):
-            return plain[min(len(words), 64)], []
-        ids = [field.bucket(w) for w in words]
-        p = field.marginals(ids)
-        clean = math.prod(1 - x for x, k in zip(p, ids) if k)
-        spans: list[list[int]] = []
-        if 1 - clean >= threshold:
-            last = -2
+    texts, y, weight = labelled_sample(docs, labels, id_col, text_col, **options)
+    held = docs.sparkSession.sparkContext.broadcast(fit_field(texts, y, weight))
+
+    def score(scorer: Scorer, text: bytes) -> tuple[float, list]:
+        p = scorer.marginals(tokens(text))
+        s, spans, last = scorer.score(p), [], -2
+        if s >= threshold:
             for i, m in enumerate(TOKEN.finditer(text)):
                 if p[i] >= threshold:
                     if last == i - 1:
@@ -192,11 +307,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                     else:
                         spans.append([m.start(), m.end()])
                     last = i
-        return max(1 - clean, plain[min(len(words), 64)]), spans
+        return s, spans
 
     def run(batches):
+        scorer = Scorer(held.value)
         for b in batches:
-            yield [(i, *score(t)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield [(i, *score(scorer, t)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
 
     cols = docs.select(F.col(id_col), text_bytes(text_col).alias("_t"))
     out = map_arrow(cols, run, f"`{id_col}` {field_type(docs, id_col)}, score double, spans array<array<long>>")
