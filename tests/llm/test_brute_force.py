@@ -2,7 +2,6 @@
 
 import json
 import math
-import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -198,20 +197,11 @@ def held_out(spark, d):
     return [r for r in rows if labels[r["doc_id"]]], [r for r in rows if not labels[r["doc_id"]]]
 
 
-def test_op6_few_labels(spark):
-    """About 300 toxic training rows: English insults are learned, some word families of other languages are not."""
+def test_op6_held_out(spark):
+    """About 300 toxic training rows, in four languages; some labelled rows hold no insult."""
     toxic, clean = held_out(spark, "/root/testdata/sf0.1")
     hits, false = sum(r["predicted"] for r in toxic), sum(r["predicted"] for r in clean)
-    assert hits > 0.7 * len(toxic) and hits > 0.9 * (hits + false)
-
-
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/check_s"), reason="no larger table")
-def test_op6_many_labels(spark):
-    toxic, clean = held_out(spark, "/root/testdata/check_s")
-    t, c = np.sort([r["score"] for r in toxic]), np.sort([r["score"] for r in clean])
-    auc = np.mean([(np.searchsorted(c, x) + np.searchsorted(c, x, side="right")) / 2 for x in t]) / len(c)
-    assert auc > 0.99
-    assert sum(r["predicted"] for r in clean) < 0.01 * len(clean)
+    assert hits > 0.85 * len(toxic) and hits > 0.93 * (hits + false)
 
 
 def test_op7_counts(spark, sf, docs):
