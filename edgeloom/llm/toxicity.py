@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,40 +30,48 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().translate(TABLE).split()
 
 
+#: Hash states that begin each kind of feature.
+WORD, LENGTH, DIGIT, PREFIX, SUFFIX, PIECE, AFTER, BEFORE = (zlib.crc32(k) for k in (b"w", b"l", b"d", b"p", b"s", b"g", b"a", b"b"))
+
+
 def word_features(word: bytes) -> list[int]:
     """Places of a word's own features: the word, its prefixes and suffixes, the pieces of four bytes inside it, its shape."""
-    n = len(word)
-    names = [b"w" + word, b"l%d" % min(n, 12), b"d%d" % any(48 <= c < 58 for c in word)]
-    names += [b"p" + word[:k] for k in range(3, min(n, 11))]
-    names += [b"s" + word[-k:] for k in range(2, min(n, 5))]
-    names += [b"g" + word[i : i + 4] for i in range(1, n - 4)]
-    return [zlib.crc32(x) % WEIGHTS for x in names]
+    n, h, last = len(word), zlib.crc32, WEIGHTS - 1
+    out = [h(word, WORD), h(b"%d" % min(n, 12), LENGTH), h(b"%d" % any(48 <= c < 58 for c in word), DIGIT)]
+    out += [h(word[:k], PREFIX) for k in range(3, min(n, 11))]
+    out += [h(word[-k:], SUFFIX) for k in range(2, min(n, 5))]
+    out += [h(word[i : i + 4], PIECE) for i in range(1, n - 4)]
+    return [x & last for x in out]
 
 
 def neighbour_features(word: bytes) -> tuple[int, int]:
     """Places of the features "follows this word" and "stands before this word"."""
-    return zlib.crc32(b"a" + word) % WEIGHTS, zlib.crc32(b"b" + word) % WEIGHTS
-
-
-def _odds_forward(e: list[float], t: np.ndarray) -> list[float]:
-    """Odds of tag 1 at each place given the places up to it; ``e`` are the odds of the emissions, ``t`` the exp of the transitions."""
-    a, b, c, d = t[0, 0], t[0, 1], t[1, 0], t[1, 1]
-    return list(accumulate(e, lambda x, k: k * (b + x * d) / (a + x * c)))
+    return zlib.crc32(word, AFTER) & WEIGHTS - 1, zlib.crc32(word, BEFORE) & WEIGHTS - 1
 
 
-def _odds_backward(e: list[float], t: np.ndarray) -> list[float]:
-    """Ratio of what follows under tag 1 to what follows under tag 0."""
-    a, b, c, d = t[0, 0], t[0, 1], t[1, 0], t[1, 1]
-    return list(accumulate(reversed(e[1:]), lambda y, k: (c + d * (z := k * y)) / (a + b * z), initial=1.0))[::-1]
+def _chained(e: np.ndarray, step, x: np.ndarray) -> np.ndarray:
+    """Solves ``x[i] = step(e[i], x[i - 1])`` for i > 0, where ``x[0]`` is given, for all places at once.  A round settles one more
+    place at least, and nearly all in a few rounds, as a place far back hardly counts; it ends when nothing changes."""
+    for _ in range(len(e)):
+        new = step(e[1:], x[:-1])
+        same = np.abs(new - x[1:]) <= 1e-13 * new
+        x[1:] = new
+        if same.all():
+            break
+    return x
 
 
 def marginals(scores: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """P(tag 1) of every word by forward and backward passes.  ``scores`` are those of tag 1 over tag 0 of each word,
-    ``trans[i, j]`` that of tag j after tag i."""
+    ``trans[i, j]`` that of tag j after tag i.  Forward: the odds of tag 1 given the words so far; backward: the ratio of what
+    follows under tag 1 to what follows under tag 0."""
     if not len(scores):
         return np.zeros(0)
-    e, t = np.exp(np.clip(scores, -40, 40)).tolist(), np.exp(trans)
-    o = np.array(_odds_forward(e, t)) * np.array(_odds_backward(e, t))
+    e, ((a, b), (c, d)) = np.exp(np.clip(scores, -40, 40)), np.exp(trans)
+    forward = _chained(e, lambda k, x: k * (b + x * d) / (a + x * c), e.copy())
+    back = np.concatenate([e[:1], e[:0:-1]])
+    follows = _chained(back, lambda k, y: (c + d * (k * y)) / (a + b * (k * y)), np.ones(len(e)))[::-1]
+    o = forward * follows
     return o / (1 + o)
 
 
