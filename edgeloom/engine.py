@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from edgeloom.functions.expressions import INTEGRAL, is_timestamp
+from edgeloom.functions.expressions import INTEGRAL, is_timestamp, newer_rows
 from edgeloom.operators import components as cc
 from edgeloom.operators import graph as gr
 from edgeloom.operators import khop as kh
 from edgeloom.operators import pagerank as pr
 from edgeloom.operators import path as pa
 from edgeloom.operators.graph import Graph
+from edgeloom.operators.layout import drop_layouts
 from edgeloom.sources import journal as jr
 from edgeloom.sources.catalog import FORMAT_VERSION, MANIFEST_FIELDS, Catalog, check_graph_name
 
@@ -34,7 +35,6 @@ class GraphEngine:
     def __init__(self, spark: SparkSession, root: str, open_writers: Callable[[], int | None] = lambda: None):
         self.spark, self.catalog, self.open_writers = spark, Catalog(spark, root), open_writers
         self._loaded: dict[str, tuple[int, Graph]] = {}
-        self._schedules: dict[str, str] = {}
 
     # -- registration
 
@@ -83,7 +83,6 @@ class GraphEngine:
 
     def unregister_graph(self, graph: str) -> None:
         self._row(graph)
-        self._schedules.pop(graph, None)
         self._unload(graph)
         self.spark.catalog.dropTempView(f"{graph}_delta")
         self.catalog.remove(graph)
@@ -95,24 +94,28 @@ class GraphEngine:
 
     # -- journal
 
-    def journal(self, graph: str) -> DataFrame:
+    def journal(self, graph: str, since: int | None = None) -> DataFrame:
+        """The journal's normal form; with ``since`` the rows of later versions, which the scan picks by the raw column."""
         r = self._row(graph)
-        return jr.normalise_journal(self._table(r["edge_table"]), r["src_col"], r["dst_col"], r["op_col"], r["weight_col"], r["ver_col"], r["directed"])
+        rows = self._table(r["edge_table"])
+        if since is not None:
+            rows = newer_rows(rows, r["ver_col"], since)
+        return jr.normalise_journal(rows, r["src_col"], r["dst_col"], r["op_col"], r["weight_col"], r["ver_col"], r["directed"])
 
     def make_delta_view(self, graph: str) -> DataFrame:
         r = self._row(graph)
-        rows = self.journal(graph)
+        rows = self.journal(graph, r["delta_from"] if r["ver_col"] else None)
         if r["ver_col"] is None:
             rows = rows.filter("false")
-        view = jr.delta_view(rows, r["delta_from"], r["active_snapshot"] or 0)
+        view = jr.delta_view(rows, None, r["active_snapshot"] or 0)
         view.createOrReplaceTempView(f"{graph}_delta")
         return view
 
     # -- refresh
 
     def refresh_graph(self, graph: str, now_us: int | None = None) -> dict:
-        """Boundary before the build reads, consolidation, snapshot, verification, then one manifest rename; nothing before
-        that rename is visible to queries."""
+        """Boundary before the build reads, consolidation, snapshot, verification, then the rename of a new manifest; nothing
+        before that rename is visible to queries."""
         began, r = time.time(), self._row(graph)
         rows = self.journal(graph)
         max_ver = boundary = None
@@ -147,14 +150,16 @@ class GraphEngine:
         return new
 
     def schedule_refresh(self, graph: str, cron: str) -> None:
-        """Keeps the cron text; ``run_due`` is called by whatever scheduler runs this engine.  A new schedule replaces the old."""
-        self._row(graph)
+        """Keeps the cron text in the manifest, so it outlives the process; ``run_due`` is called by whatever scheduler runs an
+        engine on this catalog.  A new schedule replaces the old."""
+        row = self._row(graph)
         if not re.fullmatch(r"[0-9 */,\-]+", cron) or len(cron.split()) != 5:
             raise ValueError("a cron expression has five fields of digits, spaces and * / , -")
-        self._schedules[graph] = cron
+        self.catalog.put(row | {"schedule": cron})
 
     def run_due(self, now: dt.datetime) -> list[str]:
-        due = [g for g, cron in self._schedules.items() if _cron_matches(cron, now)]
+        plans = {g: (self.catalog.manifest(g) or {}).get("schedule") for g in self.catalog.graphs()}
+        due = [g for g, cron in plans.items() if cron and _cron_matches(cron, now)]
         for g in due:
             self.refresh_graph(g)
         return due
@@ -166,15 +171,13 @@ class GraphEngine:
         if old:
             old[1].edges.unpersist()
             old[1].nodes.unpersist()
+            drop_layouts(old[1])
 
     def load(self, graph: str) -> DataFrame:
-        """Persists the active snapshot and checks it against the manifest."""
-        g, r = self._snapshot(graph), self._row(graph)
-        facts = g.edges.agg(F.count(F.lit(1)).alias("n"), gr.edge_checksum(g.edges).alias("c")).first()
-        if (facts["n"], facts["c"]) != (r["edge_count"], r["checksum"]):
-            self._unload(graph)
-            raise ValueError(f"snapshot {r['active_snapshot']} of {graph} is damaged, run load_all")
-        return self.spark.createDataFrame([("driver", r["active_snapshot"], facts["n"], "loaded")], "node_name string, snapshot_id long, edges long, status string")
+        """Persists the active snapshot, which is checked against the manifest."""
+        self._snapshot(graph)
+        r = self._row(graph)
+        return self.spark.createDataFrame([("driver", r["active_snapshot"], r["edge_count"], "loaded")], "node_name string, snapshot_id long, edges long, status string")
 
     def load_all(self, graph: str) -> DataFrame:
         self._row(graph)
@@ -182,6 +185,7 @@ class GraphEngine:
         return self.load(graph)
 
     def _snapshot(self, graph: str, wanted: int | None = None) -> Graph:
+        """The active snapshot, persisted, and checked when it is first read: rows and checksum of the edges, rows of the nodes."""
         r = self._row(graph)
         sid = r["active_snapshot"]
         if sid is None:
@@ -194,6 +198,11 @@ class GraphEngine:
         self._unload(graph)
         at = self.catalog.snapshot_dir(graph, sid)
         edges, nodes = (self.spark.read.parquet(f"{at}/{t}").persist() for t in ("edges", "nodes"))
+        facts = edges.agg(F.count(F.lit(1)).alias("n"), gr.edge_checksum(edges).alias("c")).first()
+        if (facts["n"], facts["c"], nodes.count()) != (r["edge_count"], r["checksum"], r["node_count"]):
+            edges.unpersist()
+            nodes.unpersist()
+            raise ValueError(f"snapshot {sid} of {graph} does not hold what its manifest says; refresh the graph")
         g = Graph(edges, nodes, r["directed"], r["weight_col"] is not None, r["in_equals_out"], closed=True, fixed=True)
         self._loaded[graph] = (sid, g)
         return g
@@ -203,7 +212,7 @@ class GraphEngine:
         base, r = self._snapshot(graph, wanted), self._row(graph)
         if r["ver_col"] is None or r["delta_from"] is None:
             return base
-        delta = self.journal(graph).filter(F.col("ver") > r["delta_from"])
+        delta = self.journal(graph, r["delta_from"])
         return base if delta.isEmpty() else jr.overlay(base, delta)
 
     # -- status
@@ -212,12 +221,11 @@ class GraphEngine:
         r = self._row(graph)
         began = time.time()
         now = int(time.time() * 1e6) if now_us is None else now_us
-        rows = self.journal(graph)
+        rows = self.journal(graph, r["delta_from"] if r["ver_col"] else None)
         if r["ver_col"] is None:
             rows = rows.filter("false")
         timed = r["ver_col"] is not None and is_timestamp(self._table(r["edge_table"]), r["ver_col"])
-        newer = rows if r["delta_from"] is None else rows.filter(F.col("ver") > r["delta_from"])
-        got = newer.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("ver") > now + AHEAD_US, 1)).alias("ahead")).first()
+        got = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("ver") > now + AHEAD_US, 1)).alias("ahead")).first()
         ms = int((time.time() - began) * 1000)
         found = [(ms > SLOW_MS, "reading the delta is slow: refresh, or partition the journal by version date"), (got["n"] > LARGE_ROWS, "the delta is large: refresh"), (timed and got["ahead"] > 0, "some versions lie in the future")]
         out = [(graph, r["active_snapshot"], got["n"], ms, int(self.open_writers() is not None), [w for bad, w in found if bad])]

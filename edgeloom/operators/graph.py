@@ -27,7 +27,8 @@ class Graph:
 
     ``undirected`` graphs hold every edge in both orientations, so all three directions read the same edges.
     ``in_equals_out`` says the same of a directed graph whose table stores both orientations.  In a ``closed`` graph every
-    node is an end of an edge; the tables of a ``fixed`` one (a snapshot) never change.
+    node is an end of an edge; the tables of a ``fixed`` one (a snapshot) never change.  An overlaid graph knows its ``base``,
+    the ``changed`` pairs whose edges of the base no longer count, and the ``added`` edges.
     """
 
     edges: DataFrame
@@ -38,6 +39,9 @@ class Graph:
     checks: dict = field(default_factory=dict)
     closed: bool = False
     fixed: bool = False
+    base: Graph | None = None
+    changed: DataFrame | None = None
+    added: DataFrame | None = None
 
     @classmethod
     def from_edges(cls, df: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None, directed: bool = True) -> Graph:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.operators import small
 from edgeloom.operators.graph import Graph, check_direction
-from edgeloom.operators.layout import Layout, laid_out
+from edgeloom.operators.layout import laid_out, layout_of
 from edgeloom.storage import Scratch
 
 
@@ -50,7 +50,7 @@ def _levels(graph: Graph, seeds: DataFrame, depth: int, direction: str, one: boo
         found, adj = small.links(graph, direction, scratch)
         if found:
             return small.level_rows(found, seeds, depth, False, False, one)
-        adj = Layout(adj, scratch)
+        adj = layout_of(graph, direction, adj, scratch)
     frontier = all_rows = scratch.save(first)
     before = None
     for hop in range(1, depth + 1):

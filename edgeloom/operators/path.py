@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from edgeloom.operators import small
 from edgeloom.operators.graph import Graph
 from edgeloom.operators.khop import check_threads
-from edgeloom.operators.layout import Layout, laid_out
+from edgeloom.operators.layout import laid_out, layout_of
 from edgeloom.storage import Scratch
 
 KEY = ["start", "target"]
@@ -64,7 +64,7 @@ def _by_hops(graph: Graph, requests: DataFrame, direction: str, max_depth: int,
     found, adj = small.links(graph, direction, scratch)
     if found:
         return small.path_rows(found, requests, max_depth, one)
-    adj = Layout(adj, scratch)
+    adj = layout_of(graph, direction, adj, scratch)
     null = F.lit(None).cast("long")
     frontier = scratch.save(requests.select(*KEY, F.col("start").alias("node"), null.alias("parent")))
     levels = [frontier]
@@ -127,12 +127,14 @@ def distances(graph: Graph, requests: DataFrame, direction: str = "out", scratch
             raise ValueError("negative edge weight")
         best = step.groupBy(*KEY, "node").agg(F.min("l").alias("n"))
         better = best.join(labels, [*KEY, "node"], "left").filter("l is null or n.dist < l.dist or (n.dist = l.dist and (n.hops < l.hops or (n.hops = l.hops and n.parent < l.parent)))")
-        frontier = scratch.save(better.select(*KEY, "node", F.col("n").alias("l")))
+        before, frontier = frontier, scratch.save(better.select(*KEY, "node", F.col("n").alias("l")))
         if frontier.isEmpty():
             adj.drop()
             return labels
         old = labels.join(frontier.select(*KEY, "node"), [*KEY, "node"], "left_anti")
         after = scratch.save(old.unionByName(frontier))
+        # only the last round's tables are read again
+        scratch.drop(before, labels)
         labels = after
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgeloom import __version__
 from edgeloom.engine import GraphEngine
 from edgeloom.operators import components as cc
 from edgeloom.operators.graph import Graph, asymmetric_edges, degrees, endpoints, is_symmetric, mirrored
@@ -16,6 +18,8 @@ from edgeloom.operators.path import shortest_path
 from edgeloom.plans import oracles as o
 from edgeloom.sources import fixtures as fx
 from edgeloom.sources import journal as jr
+from edgeloom.sources.catalog import FORMAT_VERSION
+from edgeloom.sources.export import export_csv, sorted_stream
 from edgeloom.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,7 +115,7 @@ query("path_same_node", lambda s, d: shortest_path(contact(s, d), -9, -9), "SELE
 query("path_unreachable", lambda s, d: shortest_path(geo(s, d), 0, 1), o.path(G, "(0, 1)", 5))
 query("path_multi", lambda s, d: shortest_path(contact(s, d), pairs=pairs(s, (1, 2), (5, 60), (9, 9), (3, -1))), o.path(C, "(1, 2), (5, 60), (9, 9), (3, -1)", 10))
 query("path_weighted_cost", lambda s, d: _costs(s, d), o.cheapest(o.JOURNAL_LIVE, 1, "2, 30, 75", 30))
-query("path_weighted_rows", lambda s, d: shortest_path(live(s, d), pairs=pairs(s, (1, 2), (1, 30)), weighted=True))
+query("path_weighted_rows", lambda s, d: shortest_path(live(s, d), pairs=pairs(s, (1, 2), (1, 30)), weighted=True), o.cheapest_rows(o.JOURNAL_LIVE, 1, "2, 30", 30))
 
 
 def _costs(s, d) -> DataFrame:
@@ -238,8 +242,62 @@ def _engine(s, d) -> GraphEngine:
 
 query("registered_khop_count", lambda s, d: _engine(s, d).khop_count("moves", 1, 2), o.khop(o.JOURNAL_LIVE, "(1)", 2, tail=COUNT))
 query("registered_edges", lambda s, d: rounded(_engine(s, d).live_graph("moves").edges), o.with_(o.JOURNAL_LIVE) + EDGES + "e")
-query("status_report", lambda s, d: _engine(s, d).status("moves"))
-query("info_rows", lambda s, d: _engine(s, d).info("moves").drop("cache_file"))
-query("load_rows", lambda s, d: _engine(s, d).load_all("moves"))
-query("version_row", lambda s, d: GraphEngine(s, shared_dir(s)).version())
-query("node_probe", lambda s, d: GraphEngine(s, shared_dir(s)).nodes_probe())
+query("status_report", lambda s, d: _engine(s, d).status("moves").drop("read_ms", "warnings"), o.with_(o.JOURNAL) + f"SELECT 'moves' AS graph, CAST(1 AS BIGINT) AS snapshot_id, count(*) AS delta_rows, CAST(0 AS BIGINT) AS open_writers FROM j WHERE ver > (SELECT max(ver) FROM j) - {o.HALF}")
+query("info_rows", lambda s, d: _engine(s, d).info("moves").drop("cache_file"), o.with_(o.JOURNAL_LIVE, o.NODES) + "SELECT 'driver' AS node_name, 'moves' AS graph, CAST(1 AS BIGINT) AS snapshot_id, (SELECT max(ver) FROM j) AS max_ver, (SELECT count(*) FROM n) AS node_count, (SELECT count(*) FROM e) AS edge_count, false AS loaded")
+query("load_rows", lambda s, d: _engine(s, d).load_all("moves"), o.with_(o.JOURNAL_LIVE) + "SELECT 'driver' AS node_name, CAST(1 AS BIGINT) AS snapshot_id, count(*) AS edges, 'loaded' AS status FROM e")
+query("version_row", lambda s, d: GraphEngine(s, shared_dir(s)).version(), f"SELECT '{__version__}' AS library_version, CAST({FORMAT_VERSION} AS BIGINT) AS format_version, 'spark {pyspark.__version__}' AS build_flags")
+query("node_probe", lambda s, d: GraphEngine(s, shared_dir(s)).nodes_probe().agg(F.min("k").alias("least"), F.count_distinct("k").cast("long").alias("keys"), F.count(F.lit(1)).alias("parts")).select("least", (F.col("keys") == F.col("parts")).alias("each_apart")), "SELECT CAST(0 AS BIGINT) AS least, true AS each_apart")
+
+
+# -- the plan of graphs of any size, which the small one replaces up to a checked size
+def _large(fn: Query) -> Query:
+    def run(s, d):
+        from edgeloom.operators.small import CONF
+
+        before = s.conf.get(CONF, None)
+        s.conf.set(CONF, "0")
+        try:
+            return fn(s, d)
+        finally:
+            s.conf.unset(CONF) if before is None else s.conf.set(CONF, before)
+
+    return run
+
+
+for _name in ("khop_count_d6", "khop_deep", "path_hops_rows", "path_multi", "components_contact", "components_chain", "pagerank_20", "overlay_khop", "registered_khop_count"):
+    query(f"{_name}_large", _large(QUERIES[_name]), SQL[_name])
+
+# -- exports, and the remaining relational forms
+query("csv_export_edges", lambda s, d: _exported(s, d, "edges", "src long, dst long"), o.with_(C) + "SELECT src, dst FROM e")
+query("csv_export_nodes", lambda s, d: _exported(s, d, "nodes", "id long"), o.with_(C, o.NODES) + "SELECT id FROM n")
+
+
+def _exported(s, d, part: str, schema: str) -> DataFrame:
+    import uuid
+
+    path = f"{shared_dir(s)}/edgeloom-export/{uuid.uuid4().hex}"
+    export_csv(contact(s, d), path)
+    return s.read.schema(schema).option("header", True).csv(f"{path}/{part}")
+
+
+query("sorted_stream", lambda s, d: sorted_stream(contact(s, d).edges.select("src", "dst"), "src", "dst"), o.with_(C) + "SELECT src, dst FROM e")
+level = lambda h: F.max(F.when(F.col("hops") == h, F.col("nodes"))).alias(f"h{h}")
+query("pivot_levels", lambda s, d: khop_count(contact(s, d), [1, 7], 2).groupBy("start").agg(level(0), level(1), level(2)), o.khop(C, "(1), (7)", 2, tail=f"SELECT start, max(CASE WHEN hops = 0 THEN nodes END) AS h0, max(CASE WHEN hops = 1 THEN nodes END) AS h1, max(CASE WHEN hops = 2 THEN nodes END) AS h2 FROM ({COUNT}) GROUP BY start"))
+query("cross_one_row", lambda s, d: _shares(s, d), o.with_(C, o.NODES) + "SELECT src AS id, count(*) AS degree, (SELECT count(*) FROM n) AS nodes FROM e GROUP BY src")
+query("per_partition_totals", lambda s, d: _by_partition(contact(s, d)), o.with_(C) + "SELECT count(*) AS edges, min(src) AS low, max(src) AS high FROM e")
+
+
+def _shares(s, d) -> DataFrame:
+    g = contact(s, d)
+    return degrees(g.edges).crossJoin(F.broadcast(g.nodes.agg(F.count(F.lit(1)).alias("nodes"))))
+
+
+def _by_partition(g: Graph) -> DataFrame:
+    """Each partition works on its own rows, one result each, which are then put together."""
+    parts = g.edges.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("low"), F.max("src").alias("high"))
+    return parts.agg(F.sum("n").alias("edges"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+query("scalar_dates", lambda s, d: fx.table(s, d, "orders").select("o_orderkey", F.date_diff(F.lit("1998-12-01").cast("date"), F.col("o_orderdate").cast("date")).cast("long").alias("days"), (F.col("o_orderdate").cast("timestamp_ntz") + F.expr("INTERVAL '36' HOUR")).alias("later")), "SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-12-01') AS days, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 36 HOUR AS later FROM orders")
+query("scalar_strings", lambda s, d: fx.table(s, d, "customer").select("c_custkey", F.lower("c_name").alias("low"), F.split_part("c_name", F.lit("#"), F.lit(2)).alias("tail"), F.regexp_replace("c_name", "[0-9]+", "N").alias("shape"), F.length("c_name").cast("long").alias("size"), F.expr("right(c_name, 3)").alias("last"), F.round("c_acctbal").cast("long").alias("whole")), "SELECT c_custkey, lower(c_name) AS low, split_part(c_name, '#', 2) AS tail, regexp_replace(c_name, '[0-9]+', 'N', 'g') AS shape, length(c_name) AS size, right(c_name, 3) AS last, CAST(round(c_acctbal) AS BIGINT) AS whole FROM customer")
+query("scalar_clock_text", lambda s, d: fx.table(s, d, "events").select("event_id", F.date_format(F.col("ts"), "yyyy-MM-dd HH:mm:ss").alias("shown"), F.date_format(F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("ts").cast("timestamp_ntz")), "yyyy-MM-dd HH:mm").alias("there")), "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown, strftime(ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York', '%Y-%m-%d %H:%M') AS there FROM events")

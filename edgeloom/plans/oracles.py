@@ -75,3 +75,12 @@ def cheapest(graph: str, start: int, targets: str, rounds: int) -> str:
     for k in range(rounds):
         parts.append(f"w{k + 1} AS MATERIALIZED (SELECT node, min(dist) AS dist FROM (SELECT * FROM w{k} UNION ALL SELECT e.dst, w{k}.dist + e.w FROM w{k} JOIN e ON e.src = w{k}.node) GROUP BY node)")
     return with_(*parts) + f"SELECT CAST({start} AS BIGINT) AS start, node AS target, round(dist, 6) AS cost FROM w{rounds} WHERE node IN ({targets})"
+
+
+def cheapest_rows(graph: str, start: int, targets: str, rounds: int) -> str:
+    """The walk back along parents of the least label (distance, hops, parent) of every node."""
+    parts = [graph, f"w0 AS MATERIALIZED (SELECT CAST({start} AS BIGINT) AS node, {{'d': 0.0::DOUBLE, 'h': 0::BIGINT, 'p': -1::BIGINT}} AS l)"]
+    for k in range(rounds):
+        parts.append(f"w{k + 1} AS MATERIALIZED (SELECT node, min(l) AS l FROM (SELECT * FROM w{k} UNION ALL SELECT e.dst, {{'d': w{k}.l.d + e.w, 'h': w{k}.l.h + 1, 'p': e.src}} FROM w{k} JOIN e ON e.src = w{k}.node) GROUP BY node)")
+    parts.append(f"p(target, hop_no, node) AS (SELECT node, l.h, node FROM w{rounds} WHERE node IN ({targets}) UNION ALL SELECT p.target, p.hop_no - 1, (SELECT w.l.p FROM w{rounds} w WHERE w.node = p.node) FROM p WHERE p.hop_no > 0)")
+    return with_(*parts) + f"SELECT CAST({start} AS BIGINT) AS start, target, hop_no, node FROM p"

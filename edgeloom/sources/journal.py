@@ -64,7 +64,7 @@ def overlay(base: Graph, delta: DataFrame) -> Graph:
         live = mirrored(live)
     edges = base.edges.join(changed, ["src", "dst"], "left_anti").unionByName(live)
     nodes = base.nodes.unionByName(endpoints(delta.filter("not del"))).distinct()
-    return Graph(edges, nodes, base.directed, base.weighted, not base.directed)
+    return Graph(edges, nodes, base.directed, base.weighted, not base.directed, base=base, changed=changed, added=live)
 
 
 def delta_view(journal: DataFrame, boundary: int | None, snapshot_id: int) -> DataFrame:

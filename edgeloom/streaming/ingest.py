@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from edgeloom.engine import GraphEngine
+from edgeloom.functions.expressions import VERSION_DATE
 
 
 def append_journal(stream: DataFrame, path: str, checkpoint: str, version: str | None = None, **trigger) -> StreamingQuery:
@@ -15,8 +16,8 @@ def append_journal(stream: DataFrame, path: str, checkpoint: str, version: str |
     rows = stream
     writer = rows.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
     if version:
-        rows = stream.withColumn("ver_date", F.to_date(version))
-        writer = rows.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).partitionBy("ver_date")
+        rows = stream.withColumn(VERSION_DATE, F.to_date(version))
+        writer = rows.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).partitionBy(VERSION_DATE)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 

@@ -72,6 +72,85 @@ def test_failed_refresh_keeps_snapshot(spark, place):
         e.refresh_graph("g")
 
 
+def test_manifest_survives_a_lost_driver(spark, place, monkeypatch):
+    """A driver lost before the rename of a new manifest leaves the old one in force, and no id is used twice."""
+    from edgeloom.sources.catalog import Catalog
+
+    e, journal, root = place
+    e.refresh_graph("g")
+    append(spark, journal, [(7, 8, False, 1.0, 9)])
+    real = Catalog._rename
+
+    def lost(fs, new, at):
+        if "manifest" in at.getName():
+            raise OSError("driver lost")
+        return real(fs, new, at)
+
+    monkeypatch.setattr(Catalog, "_rename", staticmethod(lost))
+    with pytest.raises(OSError, match="lost"):
+        e.refresh_graph("g")
+    monkeypatch.undo()
+    again = GraphEngine(spark, str(root / "catalog"))
+    assert again.info("g").first()["snapshot_id"] == 1 and (7, 8) in edges(again)
+    assert again.refresh_graph("g")["active_snapshot"] == 3
+
+
+def test_damaged_snapshot_is_noticed(spark, place):
+    e, _, root = place
+    e.refresh_graph("g")
+    spark.createDataFrame([(1, 2, 5.0)], "src long, dst long, w double").write.mode("overwrite").parquet(str(root / "catalog" / "g" / "snapshot_id=1" / "edges"))
+    with pytest.raises(ValueError, match="manifest"):
+        GraphEngine(spark, str(root / "catalog")).live_graph("g")
+
+
+def scan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_delta_reads_are_pushed_down(spark, place, tmp_path):
+    e, journal, _ = place
+    e.refresh_graph("g")
+    assert "GreaterThan(ver,3)" in scan_of(e.journal("g", 3))
+    path = str(tmp_path / "dated")
+    rows = spark.range(6).select(F.col("id").alias("s"), (F.col("id") + 1).alias("d"), F.timestamp_seconds(F.col("id") * 86400).alias("ts"))
+    rows.withColumn("ver_date", F.to_date("ts")).write.partitionBy("ver_date").parquet(path)
+    e.register_graph("t", path, "s", "d", ver="ts", margin=0)
+    plan = scan_of(e.journal("t", 3 * 86_400_000_000))
+    assert "GreaterThan(ts," in plan and "ver_date" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+    assert sorted(r["src"] for r in e.journal("t", 3 * 86_400_000_000).collect()) == [4, 5]
+
+
+def test_null_versions_are_zero(spark, tmp_path):
+    path = str(tmp_path / "j")
+    spark.createDataFrame([(1, 2, None), (2, 3, 4)], "s long, d long, v long").write.parquet(path)
+    e = GraphEngine(spark, str(tmp_path / "c"))
+    e.register_graph("n", path, "s", "d", ver="v", margin=9)
+    assert [e.journal("n", b).count() for b in (-1, 0, 4)] == [2, 1, 0]
+
+
+def test_links_of_a_snapshot_are_laid_out_once(spark, place, monkeypatch):
+    """With the plan of large graphs a second search, and one over a later delta, writes no links."""
+    from edgeloom.operators.small import CONF
+    from edgeloom.storage import Scratch
+
+    e, journal, _ = place
+    e.refresh_graph("g")
+    spark.conf.set(CONF, "0")
+    laid = []
+    real = Scratch.bucketed
+    monkeypatch.setattr(Scratch, "bucketed", lambda self, *a: laid.append(1) or real(self, *a))
+    try:
+        first = {tuple(r) for r in e.khop("g", 1, 3).collect()}
+        assert first == {(1, 1, 0), (1, 2, 1), (1, 3, 2)} and len(laid) == 1
+        append(spark, journal, [(3, 9, False, 1.0, 7), (2, 3, True, 1.0, 8), (2, 4, False, 1.0, 9)])
+        assert {tuple(r) for r in e.khop("g", 1, 3).collect()} == {(1, 1, 0), (1, 2, 1), (1, 4, 2)}
+        assert {tuple(r)[2:] for r in e.shortest_path("g", 1, 4).collect()} == {(0, 1), (1, 2), (2, 4)}
+        assert {tuple(r) for r in e.khop("g", 4, 3, direction="in").collect()} == {(4, 4, 0), (4, 2, 1), (4, 1, 2)}
+        assert len(laid) == 2
+    finally:
+        spark.conf.unset(CONF)
+
+
 def test_registration_errors(spark, place):
     e, journal, root = place
     bad = [
@@ -91,7 +170,8 @@ def test_schedule(spark, place):
         e.schedule_refresh("g", "rm -rf")
     e.schedule_refresh("g", "*/5 3 * * *")
     assert e.run_due(dt.datetime(2024, 1, 1, 4, 0)) == []
-    assert e.run_due(dt.datetime(2024, 1, 1, 3, 10)) == ["g"]
+    later = GraphEngine(spark, e.catalog.root)
+    assert later.run_due(dt.datetime(2024, 1, 1, 3, 10)) == ["g"]
     assert e.info("g").first()["snapshot_id"] == 1
 
 
