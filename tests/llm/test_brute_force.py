@@ -189,6 +189,71 @@ def test_op3_model(spark):
         assert math.isclose(lr, math.log(p(g, 3, 0)) - math.log(p(g, 3, 1)), abs_tol=1e-9)
 
 
+def test_op3_verdicts(spark, sf):
+    """Scores and verdicts of the whole table by direct evaluation of the models of every part."""
+    from edgeloom.llm import urls
+
+    rows = QUERIES["op3_url_filter"](spark, sf).collect()
+
+    def site(host):
+        labels = [x for x in host.split(".") if x]
+        return ".".join(x for x in labels[: max(len(labels) - 2, 1)] if x not in ("www", "m"))
+
+    free = {}
+    for r in rows:
+        blocked = bool(r["rule"]) and r["verdict"] == "block"
+        free[site(r["host"])] = free.get(site(r["host"]), False) or not blocked
+    free.pop("", None)
+    table = spark.createDataFrame([(n,) for n in {*free, *urls.REJECTED_HOSTS}], "name string").selectExpr("name", "pmod(xxhash64(substring_index(name, '.', -1)), 5) p")
+    part = {r["name"]: r["p"] for r in table.collect()}
+    grams = lambda n: [s[i : i + 4] for s in ["\x02\x02\x02" + n + "\x03"] for i in range(len(s) - 3)]
+    everything = {g for n in [*free, *urls.REJECTED_HOSTS] for g in grams(n)}
+
+    def model(names):
+        counts = [Counter(g[-k:] for n in names for g in grams(n)) for k in range(5)]
+        chars = len({g[-1] for g in everything})
+        after = [defaultdict(list) for _ in range(5)]
+        for k in range(2, 5):
+            for g, c in counts[k].items():
+                after[k][g[:-1]].append(c)
+
+        def p(gram, k=4):
+            if k == 1:
+                return (counts[1][gram[-1]] + 1) / (sum(counts[1].values()) + chars + 1)
+            same = after[k][gram[-k:-1]]
+            low = p(gram, k - 1)
+            return (counts[k][gram[-k:]] + len(same) * low) / (sum(same) + len(same)) if same else low
+
+        return p
+
+    def scores(which, names):
+        ok = model([n for n, f in free.items() if f and part[n] != which])
+        bad = model([n for n in urls.REJECTED_HOSTS if part[n] != which])
+        return {n: np.mean([math.log(ok(g)) - math.log(bad(g)) for g in grams(n)]) for n in names if part[n] == which}
+
+    page, sample = {}, {}
+    for k in range(5):
+        page |= scores(k, free)
+        sample |= scores(k, urls.REJECTED_HOSTS)
+    level = min(0.0, sorted(sample.values())[math.ceil(len(sample) / 2) - 1] / 2)
+    for r in rows:
+        want = page.get(site(r["host"]))
+        assert r["score"] == want or math.isclose(r["score"], want, abs_tol=1e-9)
+        if not r["rule"]:
+            assert r["verdict"] == ("block" if want is not None and want < level else "allow")
+
+
+def test_op3_unlisted_hosts(spark):
+    """Hosts of unwanted kinds that the sample does not name are blocked, no other host without a rule is."""
+    from edgeloom.llm import urls
+
+    rows = [r for r in QUERIES["op3_url_filter"](spark, "/root/testdata/sf0.1").collect() if not r["rule"]]
+    kinds = ("adult", "ads-", "bets", "casino", "farm", "pills")
+    unwanted = lambda h: any(k in h for k in kinds)
+    assert not any(r["host"].split(".")[-3] in urls.REJECTED_HOSTS for r in rows)
+    assert all((r["verdict"] == "block") == unwanted(r["host"]) for r in rows) and any(unwanted(r["host"]) for r in rows)
+
+
 def held_out(spark, d):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     rows = QUERIES["op6_toxicity"](spark, d).collect()
