@@ -119,9 +119,28 @@ def test_lm_groups_sum_to_one(spark):
     assert lmscore.np.allclose(model.sample().sum(axis=1), 1.0)
 
 
+def test_topk_very_common_vector(spark, monkeypatch):
+    """Half of the rows are one vector: its annulus is cut into blocks, visited blocks are copied, answers stay exact."""
+    import numpy as np
+
+    monkeypatch.setattr(topk, "VISITS", 40)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 4)).astype(np.float32)
+    x[rng.random(len(x)) < 0.5] = x[0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {}
+    for r in topk.top_k(df, k=5, block=64).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    v = np.floor(x.astype(float) * 64).astype(int)
+    for q in range(0, len(v), 20):
+        s = v @ v[q]
+        best = [i for i in np.lexsort((np.arange(len(s)), -s))[:6].tolist() if i != q][:5]
+        assert sorted(got[q]) == [(n + 1, i, s[i]) for n, i in enumerate(best)]
+
+
 @pytest.mark.parametrize("width", [2, 8])
 def test_topk_mixed_norms(spark, width):
-    """Short queries and a few long candidates; so many rows that rings are pruned."""
+    """Short queries and a few long candidates; so many rows that annuli are pruned."""
     import numpy as np
 
     rng = np.random.default_rng(width)
