@@ -115,7 +115,7 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str =
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     rows = scratch.save(quantised(vectors, id_col, vec_col, scale).dropna())
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"), F.min(F.size("v")).alias("least"), F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)).alias("norm2")).first()
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"), F.min(F.size("v")).alias("least"), F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)).alias("norm2"), F.count(F.when(F.col("id") % query_every == 0, 1)).alias("queries")).first()
     if not facts["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     n, width, norm2 = facts["n"], facts["width"], float(facts["norm2"])
@@ -204,9 +204,9 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str =
                     at, many = np.unique(keys, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(many.astype(np.int64))], names=["block", "n"])
 
-        # blocks that more than VISITS queries visit, with their copies
+        # blocks that more than VISITS queries visit, with their copies; fewer queries than that have none
         hot = {}
-        if stage:
+        if stage and facts["queries"] > VISITS:
             seen = asking.mapInArrow(keys_only, "block long, n long").groupBy("block").agg(F.sum("n").alias("n")).filter(F.col("n") > VISITS)
             hot = {r["block"]: -(-r["n"] // VISITS) for r in seen.collect()}
 
