@@ -364,10 +364,11 @@ def test_pipeline_stages(spark, sf, docs):
     kept = {r["doc_id"] for r in QUERIES["op7_quality_rules"](spark, sf).filter("kept").collect()}
     assert {r["doc_id"] for r in seen["quality"][1].collect()} == kept
     assert seen["line_dedup"][1].count() == len(kept)
+    # five-word shingles of similarity 0.8, by all pairs; op1's own contract (4 of 64 bits) is another
+    from tests.llm.test_shingles import brute
+
     before, after = seen["near_dedup"]
-    classes = simhash.simhash_classes(before)
-    assert after.count() == classes.select("class_fp").distinct().count()
-    assert {r["doc_id"] for r in after.collect()} == {r["component_id"] for r in classes.collect()}
+    assert {r["doc_id"] for r in after.collect()} == set(brute({r["doc_id"]: r["text"] for r in before.collect()}).values())
     mixed, packed = seen["mixing"][1], seen["packing"][1]
     assert packed.filter("start = 0").count() == mixed.count()
     n_words = lambda df: sum(len(words(r["text"])) for r in df.collect())
