@@ -111,14 +111,6 @@ def test_licenses_brute_force(spark):
     assert got == want
 
 
-def test_lm_groups_sum_to_one(spark):
-    df = spark.createDataFrame([(i, "a b a c " * (i % 5)) for i in range(50)], "doc_id long, text string")
-    rows = lmscore.lm_scores(df).collect()
-    assert all(r["score"] < 0 and r["base_score"] < 0 and r["n_known"] <= r["n_tokens"] for r in rows)
-    model = lmscore.PitmanYor((lmscore.np.array([0, 0, 1]), lmscore.np.array([0, 1, 2]), lmscore.np.array([5, 3, 9])), [1, 0], (lmscore.np.array([3]), lmscore.np.array([1]), lmscore.np.array([4])), 6)
-    assert lmscore.np.allclose(model.sample().sum(axis=1), 1.0)
-
-
 def test_topk_very_common_vector(spark, monkeypatch):
     """Half of the rows are one vector: its annulus is cut into blocks, visited blocks are copied, answers stay exact."""
     import numpy as np
