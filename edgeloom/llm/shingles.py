@@ -1,4 +1,7 @@
-"""Near copies by exact Jaccard similarity of word shingles."""
+"""Near copies: SimHash with pigeonring filtering, and exact Jaccard similarity of word shingles.
+
+Fingerprints of few differing bits give the first pairs, which are checked by their shingles.  Many similar texts differ in more
+bits than any ring of boxes can select by, so a search by shared shingles adds the pairs between the classes found so far."""
 
 from __future__ import annotations
 
@@ -8,13 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.simhash import shingle_hashes
+from edgeloom.llm.simhash import fingerprint_links, fingerprint_of, shingle_hashes
 from edgeloom.llm.text import field_type, text_bytes
 from edgeloom.operators.components import component_labels
 from edgeloom.storage import Scratch
 
 #: Bits of a set's parity sketch; members of a key compared in one block.
 BITS, BLOCK = 1024, 1024
+#: Bytes of the wide sketches that are moved with a key's members; longer ones are folded.
+NARROW = 4096
 #: 64-bit words of the map that picks the texts whose sets are needed; any size of it is right, a larger one picks fewer others.
 WORDS = 1 << 17
 
@@ -41,6 +46,27 @@ def wide_sketch(s: np.ndarray) -> bytes | None:
     return sketch(s, 1 << (len(s) - 1).bit_length()) if len(s) > BITS else None
 
 
+def folded(x: np.ndarray, size: int) -> np.ndarray:
+    """Wide sketches, one a row, folded to ``size`` 64-bit words each."""
+    return np.bitwise_xor.reduce(x.reshape(len(x), -1, size), axis=1)
+
+
+def narrowed(x: bytes | None) -> bytes | None:
+    """A wide sketch folded to ``NARROW`` bytes, where it is longer."""
+    return folded(np.frombuffer(x, np.uint64)[None], NARROW // 8).tobytes() if x and len(x) > NARROW else None
+
+
+def wide_near(x: bytes, m: int, ys: list[bytes], n: np.ndarray, similarity: float) -> np.ndarray:
+    """``wide_similar`` of one set and many."""
+    size, out = np.fromiter(map(len, ys), np.int64, len(ys)), np.zeros(len(ys), bool)
+    for k in np.unique(size).tolist():
+        at, w = np.flatnonzero(size == k), min(k, len(x)) // 8
+        y = folded(np.frombuffer(b"".join(ys[i] for i in at.tolist()), np.uint64).reshape(len(at), -1), w)
+        differ = np.bitwise_count(y ^ folded(np.frombuffer(x, np.uint64)[None], w)).sum(axis=1)
+        out[at] = differ <= (m + n[at]) * (1 - similarity) / (1 + similarity) + 1e-6
+    return out
+
+
 def wide_similar(x: bytes | None, m: int, y: bytes | None, n: int, similarity: float) -> bool:
     """``may_be_similar`` by the wide sketches of two sets; the longer is folded to the size of the other."""
     if x is None or y is None:
@@ -64,13 +90,13 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 
 def _prefixes(cols: DataFrame, kind: str, shingle: int, seed: int, similarity: float) -> DataFrame:
-    """``(id, th, sid, m, p, bits, wide)`` for each row: the hashes of text and set, the set's size, prefix and sketches; of rows
-    with one set the first in a task has prefix and sketches, the others none."""
+    """``(id, th, sid, m, p, bits, wide, narrow, fp)`` for each row: the hashes of text and set, the set's size, prefix, sketches
+    and fingerprint; of rows with one set the first in a task has prefix, sketches and fingerprint, the others none."""
 
     def run(batches):
         met: set[int] = set()
         for b in batches:
-            sid, size, bits, wide, parts, ends = [], [], [], [], [], [0]
+            sid, size, bits, wide, fp, parts, ends = [], [], [], [], [], [], [0]
             for t in b.column(1).to_pylist():
                 s = shingle_set(t, shingle, seed)
                 key = _set_hash(s)
@@ -80,13 +106,16 @@ def _prefixes(cols: DataFrame, kind: str, shingle: int, seed: int, similarity: f
                 size.append(len(s))
                 bits.append(sketch(s) if fresh else None)
                 wide.append(wide_sketch(s) if fresh else None)
+                fp.append(fingerprint_of(s.view(np.uint64)) if fresh else None)
                 parts.append(s[: prefix_size(len(s), similarity) if fresh else 0])
                 ends.append(ends[-1] + len(parts[-1]))
             flat = np.concatenate(parts) if parts else np.array([], np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sid, pa.int64()), pa.array(size, pa.int64()), lists, pa.array(bits, pa.binary()), pa.array(wide, pa.binary())], names=["id", "th", "sid", "m", "p", "bits", "wide"])
+            sketches = [pa.array(x, pa.binary()) for x in (bits, wide, list(map(narrowed, wide)))]
+            columns = [b.column(0), b.column(2), pa.array(sid, pa.int64()), pa.array(size, pa.int64()), lists, *sketches, pa.array(fp, pa.uint64()).view(pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "sid", "m", "p", "bits", "wide", "narrow", "fp"])
 
-    return cols.mapInArrow(run, f"id {kind}, th long, sid long, m long, p array<long>, bits binary, wide binary")
+    return cols.mapInArrow(run, f"id {kind}, th long, sid long, m long, p array<long>, bits binary, wide binary, narrow binary, fp long")
 
 
 def _elements(cols: DataFrame, texts: DataFrame, shingle: int, seed: int) -> DataFrame:
@@ -147,19 +176,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, elements, similarity: float, sc
     return out
 
 
+def _fingerprint_pairs(firsts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs ``(a, b)`` of set hashes that connect all sets whose fingerprints differ in at most four bits."""
+    heads = scratch.save(firsts.groupBy("fp").agg(F.min("sid").alias("head")))
+    equal = firsts.join(heads, "fp").filter("sid != head").select(F.col("head").alias("a"), F.col("sid").alias("b"))
+    of = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"h_{c}"))
+    near = fingerprint_links(heads.select("fp")).distinct().join(of("a"), "a").join(of("b"), "b")
+    return equal.union(near.select(F.least("h_a", "h_b"), F.greatest("h_a", "h_b")))
+
+
 def _cross_pairs(members: DataFrame, similarity: float, block: int) -> DataFrame:
     """Pairs of one key and different classes that sizes and sketches do not rule out; ``members`` is ``(h, n, sid, label, m,
-    bits)``.  Keys of more than ``block`` members are dealt out over pairs of blocks."""
+    bits, wide)``.  Long sets have most of ``bits`` flipped, so these are told apart by ``wide``.  Keys of more than ``block`` members are dealt out over pairs of blocks."""
     nb = F.ceil(F.col("n") / block).cast("long")
     dealt = members.withColumn("mine", F.pmod(F.xxhash64("sid"), nb)).withColumn("nb", nb)
-    dealt = dealt.select("h", F.explode(F.expr("transform(sequence(0L, nb - 1L), x -> least(x, mine) * nb + greatest(x, mine))")).alias("part"), "sid", "label", "m", "bits")
+    dealt = dealt.select("h", F.explode(F.expr("transform(sequence(0L, nb - 1L), x -> least(x, mine) * nb + greatest(x, mine))")).alias("part"), "sid", "label", "m", "bits", "wide")
 
     def run(key, t):
         sid, label, m = (t[c].to_numpy() for c in ("sid", "label", "m"))
-        bits, a, b = _sketches(t["bits"]), [], []
+        bits, wide, a, b = _sketches(t["bits"]), t["wide"].to_pylist(), [], []
         for i in range(len(sid) - 1):
             j = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
             j = j[may_be_similar(np.broadcast_to(bits[i], (len(j), bits.shape[1])), np.full(len(j), m[i]), bits[j], m[j], similarity)]
+            long = np.flatnonzero(m[j] > BITS)
+            if m[i] > BITS and len(long):
+                ok = wide_near(wide[i], m[i], [wide[k] for k in j[long].tolist()], m[j[long]], similarity)
+                j = np.delete(j, long[~ok])
             a.append(np.minimum(sid[i], sid[j]))
             b.append(np.maximum(sid[i], sid[j]))
         a, b = (np.concatenate(x) if x else np.array([], np.int64) for x in (a, b))
@@ -172,14 +214,14 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(id, class_fp, component_id, th)`` for every row: rows whose sets of word shingles have a Jaccard similarity of at least
     ``similarity`` are linked, classes are what links connect, ``component_id`` is the least id of the class.
 
-    No pair is lost: similar sets share an element of their prefixes, the least hashes.  Members of a key are first compared
-    with one of them; then, where a key still has members of several classes, all pairs across classes are compared, sketches
+    Pairs whose fingerprints (SimHash, pigeonring) differ in at most four bits are compared first.  No other pair is lost:
+    similar sets share an element of their prefixes, the least hashes.  Members of a key are compared with one of them; then, where a key still has members of several classes, all pairs across classes are compared, sketches
     before elements.  Null text counts as empty; null ids are members but never name a class unless all ids of it are null.
     """
     scratch = Scratch(docs.sparkSession)
     cols = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t"), F.xxhash64(text_col).alias("th"))
-    rows = scratch.save(_prefixes(cols, field_type(docs, id_col), shingle, seed, similarity))
-    firsts = rows.filter("size(p) > 0")
+    full = scratch.save(_prefixes(cols, field_type(docs, id_col), shingle, seed, similarity))
+    rows, firsts = scratch.save(full.select("id", "th", "sid")), full.filter("size(p) > 0")
 
     def elements(sids: DataFrame) -> DataFrame:
         sids = scratch.save(sids)
@@ -196,13 +238,14 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = shared.filter("sid = first").groupBy("first", "n", "sig").agg(F.min("h").alias("h")).select("h")
     every, shared = shared, scratch.save(shared.join(one, "h", "left_semi"))
     scratch.drop(every)
-    sets = firsts.select("sid", "m", "bits", "wide").join(shared.select("sid").distinct(), "sid", "left_semi")
+    sets = firsts.select("sid", "m", "bits", "wide", "narrow").join(shared.select("sid").distinct(), "sid", "left_semi")
     sets = scratch.save(sets.dropDuplicates(["sid"]))
-    star = _verified(shared.filter("sid != first").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct(), sets, elements, similarity, scratch)
+    stars = shared.filter("sid != first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
+    star = _verified(_fingerprint_pairs(firsts, scratch).union(stars).distinct(), sets, elements, similarity, scratch)
     labels = component_labels(star).select(F.col("node").alias("sid"), F.col("component").alias("label"))
     labelled = shared.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     mixed = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("h")
-    members = labelled.select("h", "n", "sid", "label").join(mixed, "h", "left_semi").join(sets.drop("wide"), "sid")
+    members = labelled.select("h", "n", "sid", "label").join(mixed, "h", "left_semi").join(sets.withColumn("wide", F.coalesce("narrow", "wide")).drop("narrow"), "sid")
     members = scratch.save(members)
     across = scratch.save(_cross_pairs(members, similarity, block))
     scratch.drop(members)
@@ -212,5 +255,5 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = scratch.save(least.select("sid", "least_id", F.coalesce("class_fp", "sid").alias("class_fp")))
     classes = named.groupBy("class_fp").agg(F.min("least_id").alias("component_id"))
     by_set = scratch.save(named.select("sid", "class_fp").join(classes, "class_fp"))
-    scratch.drop(shared, sets, across)
+    scratch.drop(shared, sets, across, full, named)
     return rows.select("id", "th", "sid").join(by_set, "sid").select("id", "class_fp", "component_id", "th")

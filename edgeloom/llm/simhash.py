@@ -39,7 +39,11 @@ def shingle_hashes(text: bytes, shingle: int = 4, seed: int = 42) -> np.ndarray:
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     """64-bit SimHash over word shingles, repeats included; no words: 0."""
-    hashes = shingle_hashes(text, shingle, seed)
+    return fingerprint_of(shingle_hashes(text, shingle, seed))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half the hashes."""
     if len(hashes) < 2:
         return int(hashes[0]) if len(hashes) else 0
     counts = np.zeros(64, np.int64)
@@ -221,8 +225,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay = scratch.save(heads.withColumn("_n", first).filter("_n = 1").select(F.col("id").alias("_id"), F.col("th").alias("_th")))
     rows = classes.select(F.col("id").alias("_id"), F.col("th").alias("_th"))
     gone = scratch.save(rows.join(stay.withColumnsRenamed({"_id": "_i", "_th": "_t"}), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left_anti"))
-    kept = without(sealed(docs), seal(docs, id_col), seal(docs, text_col), gone)
     repeated = heads.groupBy("id", "th").count().filter("count > 1").limit(1).count() > 0
+    scratch.drop(classes, stay)
+    kept = without(sealed(docs), seal(docs, id_col), seal(docs, text_col), gone)
     if repeated:
         kept = kept.dropDuplicates([seal(docs, id_col), "_h"])
     return kept.drop("_h").toDF(*docs.columns)

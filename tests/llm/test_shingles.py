@@ -75,3 +75,38 @@ def test_sketches_lose_no_pair():
         assert shingles.wide_similar(shingles.wide_sketch(a), len(a), shingles.wide_sketch(b), len(b), 0.8)
         other = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
         assert n < 1024 or not shingles.wide_similar(shingles.wide_sketch(a), len(a), shingles.wide_sketch(other), len(other), 0.8)
+
+
+def test_fingerprints_give_the_first_pairs(spark, planted):
+    """All sets whose fingerprints differ in at most four bits are connected by the pairs of the named method."""
+    from edgeloom.llm.simhash import fingerprint_of
+    from edgeloom.storage import Scratch
+
+    sets = {i: shingles.shingle_set(t.encode()) for i, t in planted.items()}
+    fp = {shingles._set_hash(s): fingerprint_of(s.view(np.uint64)) for s in sets.values()}
+    table = spark.createDataFrame([(k, f - (1 << 64) if f >> 63 else f) for k, f in fp.items()], "sid long, fp long")
+    root = {k: k for k in fp}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in shingles._fingerprint_pairs(table, Scratch(spark)).collect():
+        root[find(r["a"])] = find(r["b"])
+    close = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 4]
+    assert close and all(find(a) == find(b) for a, b in close)
+
+
+def test_long_texts_of_one_passage_give_no_pairs(spark):
+    """Sets of thousands of shingles flip most bits of the short sketch; they are told apart before pairs are made."""
+    rng = np.random.default_rng(8)
+    common = rng.integers(-(1 << 62), 1 << 62, 30)
+    sets = [np.unique(np.concatenate([common, rng.integers(-(1 << 62), 1 << 62, n)])) for n in range(2500, 4500, 50)]
+    sets += [np.unique(np.concatenate([sets[7][:-40], rng.integers(-(1 << 62), 1 << 62, 40)])), np.unique(rng.integers(-(1 << 62), 1 << 62, 40_000))]
+    sets.append(sets[-1][:-900])
+    wide = [shingles.wide_sketch(s) for s in sets]
+    rows = [(1, len(sets), i, i, len(s), shingles.sketch(s), shingles.narrowed(w) or w) for i, (s, w) in enumerate(zip(sets, wide))]
+    members = spark.createDataFrame(rows, "h long, n long, sid long, label long, m long, bits binary, wide binary")
+    got = {(r["a"], r["b"]) for r in shingles._cross_pairs(members, 0.8, 16).collect()}
+    assert got == {(7, 40), (41, 42)}
