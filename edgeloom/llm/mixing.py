@@ -94,6 +94,29 @@ def first_words(text: Column, n: Column) -> Column:
     return F.when(n >= word_count(text), text).otherwise(F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1), 1, n.cast("int")), ""))
 
 
+def _reads(docs: DataFrame, id_col: str, source_col: str, size: Column, **options) -> DataFrame:
+    """``_planned`` with a row for each time a document is read: ``_c`` is the round and the words read in it, ``_position`` the
+    time in [0, 1] at which its source's schedule asks for it.  A document that is never read has one row with both null."""
+    plan = _planned(docs, id_col, source_col, size, **options)
+    rounds = F.array(*(F.struct(F.lit(c).alias("copy"), take(c).alias("words")) for c in range(MOST)))
+    rows = plan.withColumn("_c", F.explode_outer(F.filter(rounds, lambda x: x["words"] > 0)))
+    demand = (F.col("source_size") * F.col("_c.copy") + F.col("start")).cast("double") / F.col("target")
+    return rows.withColumn("_position", F.when(F.col("_c").isNotNull(), training_position(demand)))
+
+
+def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """``(id_col, size, source_size, target, reads, taken, position)``, one row for each row of ``docs``: how often and how many
+    words the training stream of ``mix`` reads of it, and the position of its first read (null without one).
+
+    Counted from the reads of the stream, without the texts; odd rows are taken as in ``mix``.
+    """
+    sizes = docs.select(F.col(id_col).alias("u0"), F.col(source_col).alias("u1"), word_count(F.col(text_col)).alias("u2"), F.monotonically_increasing_id().alias("u3"))
+    reads = _reads(Scratch(docs.sparkSession).save(sizes), "u0", "u1", F.col("u2"), **options)
+    same = [F.first(c).alias(c) for c in ("u0", "size", "source_size", "target")]
+    counted = F.count("_c").alias("reads"), F.coalesce(F.sum("_c.words"), F.lit(0)).cast("long").alias("taken"), F.min("_position").alias("position")
+    return reads.groupBy("u3").agg(*same, *counted).drop("u3").withColumnRenamed("u0", id_col)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The training stream: the columns of ``docs``, one row for each time a document is read, range-sorted by training
     position.  The document at the end of a source's target is cut after the word that meets it.
@@ -103,11 +126,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """
     names, id_col, source_col, text_col = docs.columns, seal(docs, id_col), seal(docs, source_col), seal(docs, text_col)
     docs = sealed(docs)
-    plan = _planned(docs, id_col, source_col, word_count(F.col(text_col)), **options)
-    rounds = F.array(*(F.struct(F.lit(c).alias("copy"), take(c).alias("words")) for c in range(MOST)))
-    rows = plan.withColumn("_c", F.explode(F.filter(rounds, lambda x: x["words"] > 0)))
-    demand = (F.col("source_size") * F.col("_c.copy") + F.col("start")).cast("double") / F.col("target")
-    rows = rows.withColumn("_position", training_position(demand))
+    rows = _reads(docs, id_col, source_col, word_count(F.col(text_col)), **options).filter(F.col("_c").isNotNull())
     text = F.when(F.col("_c.words") < F.col("size"), first_words(F.col(text_col), F.col("_c.words"))).otherwise(F.col(text_col))
     rows = rows.withColumn(text_col, text).select(*docs.columns, "_position")
     return rows.repartitionByRange(F.col("_position"), F.col(id_col)).sortWithinPartitions("_position", id_col).drop("_position").toDF(*names)

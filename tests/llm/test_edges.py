@@ -149,3 +149,27 @@ def test_topk_mixed_norms(spark, width):
         s = v @ v[q]
         best = [i for i in np.lexsort((np.arange(len(s)), -s))[:21].tolist() if i != q][:20]
         assert got[q] == {n + 1: (i, s[i]) for n, i in enumerate(best)}
+
+
+def test_sizes_are_those_of_the_stream(spark, odd):
+    """What op5 reports of each document is what the stream of ``mix`` holds of it, all rounds counted."""
+    rows = [(i, " ".join(["w"] * (i % 7)), "abc"[min(i % 11, 2)]) for i in range(200)]
+    d = spark.createDataFrame([*rows, (200, None, None), (201, "x y", None)], "doc_id long, text string, source string")
+    want = {}
+    for place, r in enumerate(mixing.mix(d).collect()):
+        n, words, first = want.get(r["doc_id"], (0, 0, place))
+        want[r["doc_id"]] = n + 1, words + len(r["text"].split()), first
+    got = {r["doc_id"]: r for r in mixing.mixed_sizes(d).collect()}
+    assert len(got) == 202 and max(n for n, _, _ in want.values()) > 1
+    assert all((r["reads"], r["taken"]) == want.get(i, (0, 0))[:2] for i, r in got.items())
+    read = sorted(want, key=lambda i: (got[i]["position"], i))
+    assert read == sorted(want, key=lambda i: want[i][2]) and all((r["position"] is None) == (i not in want) for i, r in got.items())
+    assert mixing.mixed_sizes(odd).count() == odd.count()
+
+
+def test_op5_reads_the_stream(spark, sf, monkeypatch):
+    from edgeloom.llm import queries
+
+    seen, reads = [], mixing._reads
+    monkeypatch.setattr(mixing, "_reads", lambda *a, **k: seen.append(1) or reads(*a, **k))
+    assert queries.op5_mixing(spark, sf).count() and seen
