@@ -173,3 +173,14 @@ def test_op5_reads_the_stream(spark, sf, monkeypatch):
     seen, reads = [], mixing._reads
     monkeypatch.setattr(mixing, "_reads", lambda *a, **k: seen.append(1) or reads(*a, **k))
     assert queries.op5_mixing(spark, sf).count() and seen
+
+
+def test_hosts_under_www_are_judged(spark):
+    """Hosts with only www or m before a domain of two labels have the domain's name and its score."""
+    hosts = ["www.casino-slots.com", "m.casino-slots.com", "casino-slots.com", "www.com", "m.www.net", "a.www.casino.example.com", "www.", "..", ""]
+    got = spark.createDataFrame([(i, h) for i, h in enumerate(hosts)], "i int, h string").select("i", urls.site_name(F.col("h")).alias("n")).collect()
+    assert [r["n"] for r in sorted(got)] == ["casino-slots", "casino-slots", "casino-slots", "www", "www", "a.casino", "www", "", ""]
+    names = ["thetha", "thether", "tionthe", "ththere", "tionher", "thether.blog", "hereth", "nthere", "therion", "tithe"]
+    pages = [(i, f"https://{n}.example.org/en/{i}") for i, n in enumerate(names)] + [(90 + i, f"http://{h}/x") for i, h in enumerate(hosts[:3])]
+    rows = {r["page_id"]: r for r in urls.url_verdicts(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    assert all(rows[i]["score"] == rows[92]["score"] and rows[i]["verdict"] == rows[92]["verdict"] == "block" for i in (90, 91))
