@@ -1,7 +1,9 @@
 """LM scoring with a hierarchical Pitman-Yor model whose restaurants grow with the corpus.
 
-Every word that a pair found twice or more begins with has a restaurant; the parent all of them share is the root over all
-words.  Restaurants are tables of ``(pair, customers, tables)`` rows in Spark, so their number and size follow the corpus.
+Every word has a restaurant with a customer for each pair that begins with it; the parent all of them share is the root over
+all words.  Restaurants are tables of ``(pair, customers, tables)`` rows in Spark, so their number and size follow the corpus.
+A pair found once is one customer at a table of its own in every sweep; such pairs are counted with their context, and have
+rows only where a score needs them.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -106,44 +108,70 @@ def word_table(texts: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(counts.groupBy("word", "key").agg(F.sum("c").alias("c")))
 
 
-def pair_table(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(b, c)``: pairs that the training texts hold twice or more.  Tasks count a fixed number of tokens at a time; what they
-    hand on is sorted by pair, which spills where it must, and summed in one pass, since most pairs come from one task only
-    and hashing them before and after the shuffle would cost more than it combines."""
+#: What a pair found once has a row for: a held-out text holds it, tasks hold neither of its words, they lack one of the two.
+ASKED, BOTH_RARE, ONE_RARE = 0, 1, 2
 
-    def counted(held):
-        b, n = np.unique(np.concatenate(held), return_counts=True)
-        for s in range(0, len(b), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(b[s : s + 100_000].view(np.int64)), pa.array(n[s : s + 100_000])], names=["b", "n"])
+
+def pair_table(texts: DataFrame, scratch: Scratch, solid: np.ndarray | None = None) -> DataFrame:
+    """``(b, c)``: pairs that the training texts hold twice or more; all texts are, but those marked in a column ``held_out``.
+
+    Its attribute ``once(b, why)`` has the pairs found once that hold a word whose key is not in ``solid`` (sorted) or that a
+    held-out text holds too.  Tasks count a fixed number of tokens at a time; what they hand on, pairs of held-out texts with
+    the count 0, is sorted by pair, which spills where it must, and summed in one pass, since most pairs come from one task
+    only and hashing them before and after the shuffle would cost more than it combines."""
+    known = scratch.spark.sparkContext.broadcast(np.append(np.zeros(0, np.uint64) if solid is None else solid, np.uint64(START)))
+    if "held_out" not in texts.columns:
+        texts = texts.withColumn("held_out", F.lit(False))
+
+    def counted(held, asked):
+        for part, of in ((held, 1), (asked, 0)):
+            if part:
+                b, n = np.unique(np.concatenate(part), return_counts=True)
+                for s in range(0, len(b), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(b[s : s + 100_000].view(np.int64)), pa.array(n[s : s + 100_000] * of)], names=["b", "n"])
 
     def run(batches):
-        held, size = [], 0
+        held, asked, size = [], [], 0
         for batch in batches:
+            out, start = batch.column(1).to_numpy(zero_copy_only=False).astype(bool), 0
             for texts in slices(batch.column(0).to_pylist()):
-                held.append(pairs_of(Tokens(texts)))
-                size += len(held[-1])
+                t = Tokens(texts)
+                b, of_out = pairs_of(t), np.repeat(out[start : start + len(texts)], np.diff(t.starts))
+                held.append(b[~of_out])
+                asked.append(b[of_out])
+                size, start = size + len(b), start + len(texts)
                 if size >= PAIRS:
-                    yield from counted(held)
-                    held, size = [], 0
-        if held:
-            yield from counted(held)
+                    yield from counted(held, asked)
+                    held, asked, size = [], [], 0
+        yield from counted(held, asked)
+
+    def rows(b, c, least):
+        once = np.flatnonzero(c == 1)
+        one, keys = b[once].view(np.uint64), known.value
+        rare = [keys[np.minimum(np.searchsorted(keys, k), len(keys) - 1)] != k for k in (one >> np.uint64(32), one & np.uint64(LOW))]
+        why = np.where(least[once] == 0, ASKED, np.where(rare[0] & rare[1], BOTH_RARE, np.where(rare[0] | rare[1], ONE_RARE, -1)))
+        once, why, more = once[why >= 0], why[why >= 0], np.flatnonzero(c > 1)
+        whys = pa.array(np.concatenate([np.zeros(len(more), np.int64), why]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([b[more], b[once]])), pa.array(np.concatenate([c[more], c[once]])), whys], names=["b", "c", "why"])
 
     def summed(batches):
-        last = np.zeros((2, 0), np.int64)
+        last = np.zeros((3, 0), np.int64)
         for batch in batches:
-            b, n = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(last))
+            b, n = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(last[:2]))
             if not len(b):
                 continue
             first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+            least = np.minimum.reduceat(np.concatenate([last[2], n[last.shape[1] :]]), first)
             b, c = b[first], np.add.reduceat(n, first)
-            more = c[:-1] > 1
-            yield pa.RecordBatch.from_arrays([pa.array(b[:-1][more]), pa.array(c[:-1][more])], names=["b", "c"])
-            last = np.array([b[-1:], c[-1:]])
-        if last[1].sum() > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1])], names=["b", "c"])
+            yield rows(b[:-1], c[:-1], least[:-1])
+            last = np.array([b[-1:], c[-1:], least[-1:]])
+        yield rows(*last)
 
-    parts = texts.mapInArrow(run, "b long, n long").repartition("b").sortWithinPartitions("b")
-    return scratch.save(parts.mapInArrow(summed, "b long, c long"))
+    parts = texts.select("t", "held_out").mapInArrow(run, "b long, n long").repartition("b").sortWithinPartitions("b")
+    saved = scratch.save(parts.mapInArrow(summed, "b long, c long, why long"))
+    pairs = saved.filter("c > 1").select("b", "c")
+    pairs.once, pairs._edgeloom_path = saved.filter("c = 1").select("b", "why"), saved._edgeloom_path
+    return pairs
 
 
 def seated(df: DataFrame, customers: str, weight: Column, seed: Column, d: float, name: str) -> DataFrame:
@@ -208,10 +236,14 @@ def _free(spark) -> None:
 
 
 class Restaurants:
-    """``cells(b, c, su, sw, t, ts)``: pairs with their customers, their context's and their word's occurrences in pairs found
-    once, tables now and summed over the kept sweeps.  Customers of pairs found once sit in the root, and their number adds to
-    the strength of their context.  A sweep reseats the customers of every cell given the other cells' tables of the sweep
-    before, as distributed Gibbs samplers do."""
+    """``seats(b, c, su, sw, t, ts)``: pairs found twice or more with their customers, their context's and their word's
+    occurrences in pairs found once, tables now and summed over the kept sweeps.  A pair found once is a customer at a table of
+    its own in its context and, like every table, a customer in the root: its seat is never drawn, so ``su`` counts both the
+    customers and the tables of a context's pairs found once.  A sweep reseats the customers of every cell given the other
+    cells' tables of the sweep before, as distributed Gibbs samplers do.
+
+    ``cells(b, c, su, t, ts)`` has the pairs found once as well, those that ``pairs.once`` has; no customers are without a
+    cell then, ``su`` is 0."""
 
     def __init__(self, pairs: DataFrame, table: DataFrame, scratch: Scratch, n: int, v: int, n_texts: int, steps: dict[int, int]):
         self.scratch, self.n = scratch, n
@@ -228,7 +260,11 @@ class Restaurants:
             scratch.drop(old)
             _free(scratch.spark)
             u, w = self._by(cells, "t")
-        self.cells, self.u, self.w, self.p = cells, *self._average(cells)
+        self.seats, self.u, self.w, self.p = cells, *self._average(cells)
+        self.n_texts, none = n_texts, F.lit(0).cast("long").alias("su")
+        self.cells = cells.select("b", "c", none, "t", "ts").unionByName(
+            pairs.once.select("b", F.lit(1).cast("long").alias("c"), none, F.lit(1).cast("long").alias("t"), F.lit(SWEEPS - BURN_IN).cast("long").alias("ts"))
+        )
 
     def _by(self, cells: DataFrame, t: str) -> tuple[DataFrame, DataFrame]:
         """Contexts and words of the cells, with their customers and tables."""
@@ -251,7 +287,7 @@ class Restaurants:
         w = self.scratch.save(seated(w, "c0", F.lit(root.opens), F.xxhash64("w", F.lit(sweep)), root.d, "t0"))
         self.scratch.drop(kept)
         w_p = w.select("w", "sw", root.close(w).alias("p"))
-        opens = (F.lit(STRENGTH) + F.col("su") + F.lit(d) * F.col("tu")) * F.col("p")
+        opens = (F.lit(STRENGTH) + F.lit(d) * (F.col("su") + F.col("tu"))) * F.col("p")
         x = self._joined(cells.drop("t"), u, w_p).select("b", "c", "su", "sw", "ts", opens.alias("opens"))
         x = seated(x, "c", F.col("opens"), F.xxhash64("b", F.lit(sweep)), d, "t")
         out = self.scratch.save(x.select("b", "c", "su", "sw", "t", (F.col("ts") + (F.col("t") if sweep >= BURN_IN else 0)).alias("ts")))
@@ -262,8 +298,8 @@ class Restaurants:
         """Contexts with their share of the root ``back`` and words with ``p``, from the tables averaged over the kept sweeps."""
         kept, root = F.lit(float(SWEEPS - BURN_IN)), self.root
         u, w = self._by(cells, "ts")
-        own = F.lit(STRENGTH) + F.col("su")
-        u = self.scratch.save(u.select("u", (own + F.col("cu")).alias("all"), ((own + F.lit(self.d) * F.col("tu") / kept) / (own + F.col("cu"))).alias("back")))
+        all_, tables = F.lit(STRENGTH) + F.col("su") + F.col("cu"), F.col("su") + F.col("tu") / kept
+        u = self.scratch.save(u.select("u", all_.alias("all"), ((F.lit(STRENGTH) + F.lit(self.d) * tables) / all_).alias("back")))
         d, opens = root.d, root.opens
         w = w.select("w", "sw", "cw", (F.col("tw") / kept).alias("tw")).withColumn("c0", F.col("sw") + F.col("tw"))
 
@@ -278,30 +314,47 @@ class Restaurants:
         return u, w.select("w", p.alias("p")), p
 
     def priced_pairs(self) -> DataFrame:
-        """``(b, c, x)``: what a pair adds to the log10 probability that its context and word have apart."""
+        """``(b, c, x)`` of pairs found twice or more: what a pair adds to the log10 probability that its context and word have apart."""
         t = F.col("ts") / F.lit(float(SWEEPS - BURN_IN))
         p = (F.col("c") - F.lit(self.d) * t) / F.col("all") + F.col("back") * F.col("p")
-        x = self._joined(self.cells, self.u, self.w)
+        x = self._joined(self.seats, self.u, self.w)
         return self.scratch.save(x.select("b", "c", (F.log10(p) - F.log10(F.col("back") * F.col("p"))).alias("x")))
 
     def priced_words(self, table: DataFrame) -> DataFrame:
-        """``(word, c, x, y)``: log10 probability in the root, log10 share of the root in the word's own restaurant."""
+        """``(word, key, c, p, y, v)``: probability in the root, log10 share of the root in the word's own restaurant, and what a
+        pair found once has there over that share: with it, it adds ``log10(1 + v / p)`` by its context's ``v`` and word's ``p``."""
         root, scale = self.root, STRENGTH + self.root.total
 
         def alone(batches):
             for b in batches:
                 c = b.column("c").to_numpy()
                 p = (c - root.d * root.mean_tables(c) + root.opens) / scale
-                x = np.log10(np.where(b.column("p").is_null().to_numpy(zero_copy_only=False), p, b.column("p").fill_null(1.0).to_numpy()))
-                yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(x), b.column("y")], names=["word", "c", "x", "y"])
-
-        m = table.join(self.w, F.col("key") == F.col("w"), "left").join(self.u, F.col("key") == F.col("u"), "left")
-        y = F.when(F.length("word") == 0, 0.0).otherwise(F.coalesce(F.log10("back"), F.lit(0.0)))
-        return self.scratch.save(m.select("word", "c", "p", y.alias("y")).mapInArrow(alone, "word binary, c long, x double, y double"))
-
-    def start_share(self) -> float:
+                p = np.where(b.column("p").is_null().to_numpy(zero_copy_only=False), p, b.column("p").fill_null(1.0).to_numpy())
+                yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("word", "key", "c")), pa.array(p), b.column("y"), b.column("v")], names=["word", "key", "c", "p", "y", "v"])
+
+        n = F.sum("c").over(Window.partitionBy("key")).alias("n")
+        m = table.select("word", "key", "c", n).join(self.w, F.col("key") == F.col("w"), "left").join(self.u, F.col("key") == F.col("u"), "left")
+        all_ = F.coalesce("all", F.lit(STRENGTH) + F.col("n"))
+        back = F.coalesce("back", (F.lit(STRENGTH) + F.lit(self.d) * F.col("n")) / (F.lit(STRENGTH) + F.col("n")))
+        is_end = F.length("word") == 0
+        y, v = F.when(is_end, 0.0).otherwise(F.log10(back)), F.when(is_end, 0.0).otherwise(F.lit(1 - self.d) / (all_ * back))
+        m = m.select("word", "key", "c", "p", y.alias("y"), v.alias("v"))
+        return self.scratch.save(m.mapInArrow(alone, "word binary, key long, c long, p double, y double, v double"))
+
+    def start(self) -> tuple[float, float]:
+        """The ``y`` and ``v`` of the start of a text."""
         r = self.u.filter(F.col("u") == START).first()
-        return float(np.log10(r["back"])) if r else 0.0
+        all_ = r["all"] if r else STRENGTH + self.n_texts
+        back = r["back"] if r else (STRENGTH + self.d * self.n_texts) / all_
+        return float(np.log10(back)), (1 - self.d) / (all_ * back)
+
+    def priced_once(self, once: DataFrame, words: DataFrame) -> DataFrame:
+        """``(b, c, x)`` of pairs found once."""
+        at = words.groupBy("key").agg(F.max("p").alias("p"), F.max("v").alias("v"))
+        u = at.select(F.col("key").alias("u"), "v").unionByName(self.scratch.spark.range(1).select(F.lit(START).alias("u"), F.lit(self.start()[1]).alias("v")))
+        x = once.select("b", F.shiftrightunsigned("b", 32).alias("u"), F.col("b").bitwiseAND(F.lit(LOW)).alias("w"))
+        x = x.join(u, "u").join(at.select(F.col("key").alias("w"), "p"), "w")
+        return self.scratch.save(x.select("b", F.lit(1).cast("long").alias("c"), F.log10(F.lit(1.0) + F.col("v") / F.col("p")).alias("x")))
 
 
 def pair_map(pairs: DataFrame) -> np.ndarray:
@@ -346,29 +399,48 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     facts = table.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.max(F.when(F.length("word") == 0, F.col("c"))), F.lit(0)).alias("texts")).first()
     n, v = facts["n"], facts["v"]
     steps = {r["r"]: r["count"] for r in table.groupBy(rung(F.col("c")).alias("r")).count().collect()}
-    pairs = pair_table(training, scratch)
+    frequent = rung(F.col("c")) >= least_rung(steps, held)
+    # keys that only a held word has: of a fixed number
+    solid = table.join(F.broadcast(table.filter(frequent).select("key").distinct()), "key", "left_semi").groupBy("key").count().filter("count = 1").select("key").toArrow()
+    pairs = pair_table(d.select("t", "held_out"), scratch, np.sort(solid["key"].to_numpy().view(np.uint64)))
     _free(spark)
     pair_steps = {r["r"]: r["count"] for r in pairs.groupBy(rung(F.col("c")).alias("r")).count().collect()}
     model = Restaurants(pairs, table, scratch, n, v, facts["texts"], steps)
     cells, words = model.priced_pairs(), model.priced_words(table)
-    scratch.drop(model.cells, table)
+    scratch.drop(model.seats, table)
     _free(spark)
-    unknown, share = float(np.log10(model.root.unknown)), model.start_share()
+    unknown, (share, start_v) = float(np.log10(model.root.unknown)), model.start()
     base_log = float(np.log10(n + v + 1)) if n + v else 0.0
 
-    got = words.filter(rung(F.col("c")) >= least_rung(steps, held)).toArrow().sort_by([("c", "descending")])
-    plus_one, x, y = np.log10(got["c"].to_numpy() + 1.0), got["x"].to_numpy(), got["y"].to_numpy()
+    got = words.filter(frequent).toArrow().sort_by([("c", "descending")])
+    plus_one, p, y, v_ = np.log10(got["c"].to_numpy() + 1.0), got["p"].to_numpy(), got["y"].to_numpy(), got["v"].to_numpy()
     top = rung(F.col("c")) >= least_rung(pair_steps, held_pairs)
     best = cells.filter(top).select("b", "x").toArrow()
     best_b, best_x = best["b"].to_numpy().view(np.uint64), best["x"].to_numpy()
     order = np.argsort(best_b)
-    shared = spark.sparkContext.broadcast((got["word"].to_pylist(), plus_one, x + y, best_b[order], best_x[order], pair_map(cells.filter(~top))))
+    bitmap = spark.sparkContext.broadcast(pair_map(cells.filter(~top).select("b").unionByName(pairs.once.filter(F.col("why") == ASKED).select("b"))))
+    shared = spark.sparkContext.broadcast((got["word"].to_pylist(), plus_one, np.log10(p) + y, 1 / p, v_, best_b[order], best_x[order]))
+
+    def may_have(b):
+        place = map_place(b) & np.uint64(8 * len(bitmap.value) - 1)
+        return (bitmap.value[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+    def shipped(batches):
+        for batch in batches:
+            b = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(b[(batch.column(1).to_numpy() != ONE_RARE) | may_have(b.view(np.uint64))])], names=["b"])
+
+    once = model.priced_once(pairs.once.mapInArrow(shipped, "b long"), words)
+    scratch.drop(pairs)
+
+    names, fields = ["id", "held_out", "n_tokens", "known", "base", "s"], ["row", "key", "word", "a", "q", "info"]
 
-    names = ["id", "held_out", "n_tokens", "known", "base", "s"]
+    def rows_of(texts, out, first, lookup):
+        """The rows of some texts: one for each text, one for each of its words and pairs that tasks do not hold.
 
-    def rows_of(texts, first, lookup):
-        """The rows of some texts: one for each text, one for each of its words and pairs that tasks do not hold."""
-        _, plus_one, xy, best_b, best_x, bits = shared.value
+        A pair of a training text is found once unless it has a row.  With held words its price is known here; with one word
+        that is not, the other's part goes with that word's row (``a``: the context's ``v``, ``q``: one over the word's ``p``)."""
+        _, plus_one, xy, over_p, v_, best_b, best_x = shared.value
         t = Tokens(texts)
         at, size = t.starts[:-1], np.diff(t.starts)
         text = np.repeat(np.arange(len(size)), size)
@@ -383,35 +455,55 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         spot[order] = np.minimum(np.searchsorted(best_b, b[order]), max(len(best_b) - 1, 0))
         hit = best_b[spot] == b if len(best_b) else np.zeros(len(b), bool)
         s[hit] += best_x[spot[hit]]
+        a, q = np.zeros(len(rank)), np.zeros(len(rank))
+        q[here] = over_p[rank[here]]
+        a[1:][here[:-1]] = v_[rank[:-1][here[:-1]]]
+        a[at] = start_v
+        before = np.concatenate([[True], here[:-1]])
+        before[at] = True
+        # pairs of training texts with no row: ``once``; pairs that go to the join: ``sent``
+        sent, learned = ~hit, ~out[text]
+        sent[sent] = may_have(b[sent])
+        once = learned & ~hit & ~sent
+        sent |= once & ~before & ~here
+        local = np.flatnonzero(once & before & here)
+        s[local] += np.log10(1 + a[local] * q[local])
         facts = (size, known, np.add.reduceat(base, at) - base_log * size, np.add.reduceat(s, at) + share)
         rare = np.flatnonzero(~here)
-        place = map_place(b[~hit])
-        maybe = (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
-        return facts, (first + text[rare], t.words(rare)), (first + text[~hit][maybe], b[~hit][maybe])
+        after = np.minimum(rare + 1, len(rank) - 1)
+        word_a, word_q = np.where(once[rare] & before[rare], a[rare], 0.0), np.where(once[after] & here[after], q[after], 0.0)
+        # an end is no context: what follows it is another text's
+        word_q[np.isin(after, at) | (after == rare)] = 0.0
+        sent = np.flatnonzero(sent)
+        else_ = np.where(learned[sent] & before[sent] & here[sent], np.log10(1 + a[sent] * q[sent]), 0.0)
+        return facts, (first + text[rare], t.words(rare), word_a, word_q), (first + text[sent], b[sent], else_)
 
     def score(batches):
         row, lookup = TaskContext.get().partitionId() << 36, Lookup(shared.value[0])
         for batch in batches:
             ids, out, start = batch.column(0), batch.column(2), 0
+            flags = out.to_numpy(zero_copy_only=False).astype(bool)
             for texts in slices(batch.column(1).to_pylist()):
-                (tokens, known, base, s), (word_at, words), (pair_at, b) = rows_of(texts, row, lookup)
                 m = len(texts)
+                (tokens, known, base, s), (word_at, words, word_a, word_q), (pair_at, b, else_) = rows_of(texts, flags[start : start + m], row, lookup)
                 info = pa.StructArray.from_arrays([ids.slice(start, m), out.slice(start, m), *map(pa.array, (tokens, known, base, s))], names=names)
                 at = np.arange(row, row + m)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(at), pa.array([NO_WORD] * m, pa.binary()), info], names=["row", "key", "word", "info"])
+                none = pa.array(np.zeros(m))
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(at), pa.array([NO_WORD] * m, pa.binary()), none, none, info], names=fields)
                 for a in range(0, len(words), 100_000):
-                    part = words[a : a + 100_000]
+                    part, to = words[a : a + 100_000], slice(a, a + 100_000)
                     key = np.fromiter(map(xxh64_intdigest, part, repeat(42)), np.uint64, len(part)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(word_at[a : a + 100_000]), pa.array(key), pa.array(part, pa.binary()), pa.nulls(len(part), info.type)], names=["row", "key", "word", "info"])
+                    yield pa.RecordBatch.from_arrays([pa.array(word_at[to]), pa.array(key), pa.array(part, pa.binary()), pa.array(word_a[to]), pa.array(word_q[to]), pa.nulls(len(part), info.type)], names=fields)
                 for a in range(0, len(b), 100_000):
-                    key = b[a : a + 100_000].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair_at[a : a + 100_000]), pa.array(key), pa.nulls(len(key), pa.binary()), pa.nulls(len(key), info.type)], names=["row", "key", "word", "info"])
+                    to = slice(a, a + 100_000)
+                    key = b[to].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair_at[to]), pa.array(key), pa.nulls(len(key), pa.binary()), pa.array(else_[to]), pa.array(np.zeros(len(key))), pa.nulls(len(key), info.type)], names=fields)
                 row, start = row + m, start + m
 
     # one sort by a long for words and pairs: words are told apart by themselves, pairs have none, a text's own row meets nothing
-    rows = d.mapInArrow(score, f"row long, key long, word binary, info struct<id:{field_type(docs, id_col)},held_out:boolean,n_tokens:long,known:long,base:double,s:double>")
-    priced = words.select(F.xxhash64("word").alias("key_"), F.col("word").alias("word_"), "c", (F.col("x") + F.col("y")).alias("x")).unionByName(
-        cells.filter(~top).select(F.col("b").alias("key_"), F.lit(None).cast("binary").alias("word_"), F.lit(None).cast("long").alias("c"), "x")
+    rows = d.mapInArrow(score, f"row long, key long, word binary, a double, q double, info struct<id:{field_type(docs, id_col)},held_out:boolean,n_tokens:long,known:long,base:double,s:double>")
+    priced = words.select(F.xxhash64("word").alias("key_"), F.col("word").alias("word_"), "c", F.col("p").alias("x"), "y", "v").unionByName(
+        cells.filter(~top).unionByName(once).select(F.col("b").alias("key_"), F.lit(None).cast("binary").alias("word_"), F.lit(None).cast("long").alias("c"), "x", F.lit(0.0).alias("y"), F.lit(0.0).alias("v"))
     )
     same = (F.col("word").isNull() & F.col("word_").isNull()) | (F.col("word") == F.col("word_"))
     met = rows.join(priced, (F.col("key") == F.col("key_")) & same, "left")
@@ -421,7 +513,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         "row", "info",
         F.when(is_text, F.col("info.known")).otherwise(seen.cast("long")).alias("known"),
         F.when(is_text, F.col("info.base")).when(seen, F.log10(F.col("c") + F.lit(1.0))).otherwise(0.0).alias("base"),
-        F.when(is_text, F.col("info.s")).otherwise(F.coalesce("x", F.when(is_word, F.lit(unknown)).otherwise(0.0))).alias("s"),
+        F.when(is_text, F.col("info.s")).when(seen, F.log10(F.col("x") + F.col("a")) + F.col("y") + F.log1p(F.col("v") * F.col("q")) / F.lit(float(np.log(10)))).when(is_word, F.lit(unknown)).otherwise(F.coalesce("x", "a")).alias("s"),
     )
     whole = one.groupBy("row").agg(
         F.max("info.id").alias("id"), F.max("info.held_out").alias("held_out"), F.max("info.n_tokens").alias("n_tokens"),

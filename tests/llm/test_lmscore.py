@@ -123,6 +123,30 @@ def test_lm_restaurants_grow(spark):
     assert got == {(key(u), key(w)): c for (u, w), c in pairs.items() if c > 1}
 
 
+def test_lm_pairs_found_once(spark):
+    """A pair found once is a customer at a table of its own: worked out by hand for four such pairs, each word found once."""
+    train, out = (next(i for i in range(100) if (zlib.crc32(str(i).encode()) % 7 == 2) == held) for held in (False, True))
+    df = spark.createDataFrame([(train, "a b c"), (out, "a b x")], "doc_id long, text string")
+    d, root = 0.95, (1 - 0.95 + (1 + 0.95 * 4) * 0.5 / 4) / (1 + 4)
+    unknown, back = (1 + 0.95 * 4) / (1 + 4) * 0.5, (1 + d) / (1 + 1)
+    assert math.isclose(4 * root + unknown, 1.0)
+    once = (1 - d) / (1 + 1) + back * root
+    want = {train: 4 * math.log10(once), out: 2 * math.log10(once) + math.log10(back * unknown) + math.log10(root)}
+    for limits in ({}, {"held": 0}, {"held": 2}, {"held": 0, "held_pairs": 0}):
+        got = {r["doc_id"]: r["score"] for r in lmscore.lm_scores(df, **limits).collect()}
+        assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want), (limits, got, want)
+
+
+def test_lm_words_by_turns(spark, monkeypatch):
+    """Whichever of a pair's words tasks hold, and however full the map of pairs is, the scores are those of holding all."""
+    df = corpus(spark)
+    a = {r["doc_id"]: r["score"] for r in lmscore.lm_scores(df).collect()}
+    for bits in (lmscore.MAP_BITS, 32768):
+        monkeypatch.setattr(lmscore, "MAP_BITS", bits)
+        for r in lmscore.lm_scores(df, held=20, held_pairs=4).collect():
+            assert math.isclose(r["score"], a[r["doc_id"]], rel_tol=1e-9)
+
+
 def test_lm_small_tables(spark):
     schema = "doc_id long, text string"
     assert lmscore.lm_scores(spark.createDataFrame([], schema)).collect() == []
