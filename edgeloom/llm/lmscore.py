@@ -108,18 +108,18 @@ def word_table(texts: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(counts.groupBy("word", "key").agg(F.sum("c").alias("c")))
 
 
-#: What a pair found once has a row for: a held-out text holds it, tasks hold neither of its words, they lack one of the two.
-ASKED, BOTH_RARE, ONE_RARE = 0, 1, 2
+#: What a pair found once has a row for: a held-out text holds it, or tasks hold neither of its words.
+ASKED, BOTH_RARE = 0, 1
 
 
 def pair_table(texts: DataFrame, scratch: Scratch, solid: np.ndarray | None = None) -> DataFrame:
     """``(b, c)``: pairs that the training texts hold twice or more; all texts are, but those marked in a column ``held_out``.
 
-    Its attribute ``once(b, why)`` has the pairs found once that hold a word whose key is not in ``solid`` (sorted) or that a
-    held-out text holds too.  Tasks count a fixed number of tokens at a time; what they hand on, pairs of held-out texts with
+    Its attribute ``once(b, why)`` has the pairs found once of which neither word's key is in ``solid`` (sorted) or which a
+    held-out text holds too; with no ``solid`` it has all, those of a text's start as well.  Tasks count a fixed number of tokens at a time; what they hand on, pairs of held-out texts with
     the count 0, is sorted by pair, which spills where it must, and summed in one pass, since most pairs come from one task
     only and hashing them before and after the shuffle would cost more than it combines."""
-    known = scratch.spark.sparkContext.broadcast(np.append(np.zeros(0, np.uint64) if solid is None else solid, np.uint64(START)))
+    known = scratch.spark.sparkContext.broadcast(np.zeros(0, np.uint64) if solid is None else np.append(solid, np.uint64(START)))
     if "held_out" not in texts.columns:
         texts = texts.withColumn("held_out", F.lit(False))
 
@@ -148,8 +148,11 @@ def pair_table(texts: DataFrame, scratch: Scratch, solid: np.ndarray | None = No
     def rows(b, c, least):
         once = np.flatnonzero(c == 1)
         one, keys = b[once].view(np.uint64), known.value
-        rare = [keys[np.minimum(np.searchsorted(keys, k), len(keys) - 1)] != k for k in (one >> np.uint64(32), one & np.uint64(LOW))]
-        why = np.where(least[once] == 0, ASKED, np.where(rare[0] & rare[1], BOTH_RARE, np.where(rare[0] | rare[1], ONE_RARE, -1)))
+        rare = np.ones(len(one), bool)
+        if len(keys):
+            for k in (one >> np.uint64(32), one & np.uint64(LOW)):
+                rare[rare] = keys[np.minimum(np.searchsorted(keys, k[rare]), len(keys) - 1)] != k[rare]
+        why = np.where(least[once] == 0, ASKED, np.where(rare, BOTH_RARE, -1))
         once, why, more = once[why >= 0], why[why >= 0], np.flatnonzero(c > 1)
         whys = pa.array(np.concatenate([np.zeros(len(more), np.int64), why]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([b[more], b[once]])), pa.array(np.concatenate([c[more], c[once]])), whys], names=["b", "c", "why"])
@@ -260,7 +263,8 @@ class Restaurants:
             scratch.drop(old)
             _free(scratch.spark)
             u, w = self._by(cells, "t")
-        self.seats, self.u, self.w, self.p = cells, *self._average(cells)
+        self.seats, self.u, self.w_table, self.p = cells, *self._average(cells)
+        self.w = self.w_table.select("w", self.p.alias("p"))
         self.n_texts, none = n_texts, F.lit(0).cast("long").alias("su")
         self.cells = cells.select("b", "c", none, "t", "ts").unionByName(
             pairs.once.select("b", F.lit(1).cast("long").alias("c"), none, F.lit(1).cast("long").alias("t"), F.lit(SWEEPS - BURN_IN).cast("long").alias("ts"))
@@ -311,14 +315,15 @@ class Restaurants:
 
         w = self.scratch.save(w.mapInArrow(mean, "w long, cw long, tw double, c0 double, t0 double"))
         p = root.close(w)
-        return u, w.select("w", p.alias("p")), p
+        return u, w, p
 
     def priced_pairs(self) -> DataFrame:
-        """``(b, c, x)`` of pairs found twice or more: what a pair adds to the log10 probability that its context and word have apart."""
+        """``(b, c, x, once)`` of pairs found twice or more: what a pair adds to the log10 probability that its context and word
+        have apart, and what it would add if it were found once."""
         t = F.col("ts") / F.lit(float(SWEEPS - BURN_IN))
         p = (F.col("c") - F.lit(self.d) * t) / F.col("all") + F.col("back") * F.col("p")
         x = self._joined(self.seats, self.u, self.w)
-        return self.scratch.save(x.select("b", "c", (F.log10(p) - F.log10(F.col("back") * F.col("p"))).alias("x")))
+        return self.scratch.save(x.select("b", "c", (F.log10(p) - F.log10(F.col("back") * F.col("p"))).alias("x"), F.log10(1 + F.lit(1 - self.d) / (F.col("all") * F.col("back") * F.col("p"))).alias("once")))
 
     def priced_words(self, table: DataFrame) -> DataFrame:
         """``(word, key, c, p, y, v)``: probability in the root, log10 share of the root in the word's own restaurant, and what a
@@ -349,12 +354,12 @@ class Restaurants:
         return float(np.log10(back)), (1 - self.d) / (all_ * back)
 
     def priced_once(self, once: DataFrame, words: DataFrame) -> DataFrame:
-        """``(b, c, x)`` of pairs found once."""
+        """``(b, c, x, once)`` of pairs found once."""
         at = words.groupBy("key").agg(F.max("p").alias("p"), F.max("v").alias("v"))
         u = at.select(F.col("key").alias("u"), "v").unionByName(self.scratch.spark.range(1).select(F.lit(START).alias("u"), F.lit(self.start()[1]).alias("v")))
         x = once.select("b", F.shiftrightunsigned("b", 32).alias("u"), F.col("b").bitwiseAND(F.lit(LOW)).alias("w"))
         x = x.join(u, "u").join(at.select(F.col("key").alias("w"), "p"), "w")
-        return self.scratch.save(x.select("b", F.lit(1).cast("long").alias("c"), F.log10(F.lit(1.0) + F.col("v") / F.col("p")).alias("x")))
+        return self.scratch.save(x.select("b", F.lit(1).cast("long").alias("c"), F.log10(F.lit(1.0) + F.col("v") / F.col("p")).alias("x")).withColumn("once", F.col("x")))
 
 
 def pair_map(pairs: DataFrame) -> np.ndarray:
@@ -425,21 +430,20 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         place = map_place(b) & np.uint64(8 * len(bitmap.value) - 1)
         return (bitmap.value[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
-    def shipped(batches):
-        for batch in batches:
-            b = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(b[(batch.column(1).to_numpy() != ONE_RARE) | may_have(b.view(np.uint64))])], names=["b"])
-
-    once = model.priced_once(pairs.once.mapInArrow(shipped, "b long"), words)
-    scratch.drop(pairs)
+    once = model.priced_once(pairs.once, words)
+    # (number, v_, over_p): of a fixed number of rows; the number after the last word is the start's
+    numbers = spark.createDataFrame(pa.table({"number": np.arange(len(v_) + 1) + 1, "v_": np.append(v_, start_v), "over_p": np.append(1 / p, 0.0)}))
+    scratch.drop(pairs, model.u, model.w_table)
+    _free(spark)
 
-    names, fields = ["id", "held_out", "n_tokens", "known", "base", "s"], ["row", "key", "word", "a", "q", "info"]
+    names, fields = ["id", "held_out", "n_tokens", "known", "base", "s"], ["row", "key", "word", "beside", "info"]
 
     def rows_of(texts, out, first, lookup):
         """The rows of some texts: one for each text, one for each of its words and pairs that tasks do not hold.
 
-        A pair of a training text is found once unless it has a row.  With held words its price is known here; with one word
-        that is not, the other's part goes with that word's row (``a``: the context's ``v``, ``q``: one over the word's ``p``)."""
+        Pairs of training texts that tasks do not hold are priced as found once; what a row of a pair found more often adds is
+        beyond that.  With held words the price is known here; with one word that is not held, the numbers of those beside it
+        go with that word's row (high half: the context, low half: the next word); with none, the pair goes to the join."""
         _, plus_one, xy, over_p, v_, best_b, best_x = shared.value
         t = Tokens(texts)
         at, size = t.starts[:-1], np.diff(t.starts)
@@ -455,28 +459,24 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         spot[order] = np.minimum(np.searchsorted(best_b, b[order]), max(len(best_b) - 1, 0))
         hit = best_b[spot] == b if len(best_b) else np.zeros(len(b), bool)
         s[hit] += best_x[spot[hit]]
-        a, q = np.zeros(len(rank)), np.zeros(len(rank))
-        q[here] = over_p[rank[here]]
-        a[1:][here[:-1]] = v_[rank[:-1][here[:-1]]]
-        a[at] = start_v
-        before = np.concatenate([[True], here[:-1]])
-        before[at] = True
-        # pairs of training texts with no row: ``once``; pairs that go to the join: ``sent``
-        sent, learned = ~hit, ~out[text]
+        # numbers from 1, 0: not held
+        number = rank + 1
+        before = np.concatenate([[0], number[:-1]])
+        before[at] = len(v_) + 1
+        sent, once = ~hit, ~out[text] & ~hit
         sent[sent] = may_have(b[sent])
-        once = learned & ~hit & ~sent
-        sent |= once & ~before & ~here
-        local = np.flatnonzero(once & before & here)
-        s[local] += np.log10(1 + a[local] * q[local])
+        both = once & (before > 0) & here
+        none = once & (before == 0) & ~here
+        local = np.flatnonzero(both)
+        s[local] += np.log10(1 + np.append(v_, start_v)[before[local] - 1] * over_p[rank[local]])
         facts = (size, known, np.add.reduceat(base, at) - base_log * size, np.add.reduceat(s, at) + share)
         rare = np.flatnonzero(~here)
-        after = np.minimum(rare + 1, len(rank) - 1)
-        word_a, word_q = np.where(once[rare] & before[rare], a[rare], 0.0), np.where(once[after] & here[after], q[after], 0.0)
         # an end is no context: what follows it is another text's
-        word_q[np.isin(after, at) | (after == rare)] = 0.0
-        sent = np.flatnonzero(sent)
-        else_ = np.where(learned[sent] & before[sent] & here[sent], np.log10(1 + a[sent] * q[sent]), 0.0)
-        return facts, (first + text[rare], t.words(rare), word_a, word_q), (first + text[sent], b[sent], else_)
+        after = np.where(once, number, 0)
+        after[at] = 0
+        beside = (np.where(once[rare], before[rare], 0) << 32) | np.append(after, 0)[rare + 1]
+        sent = np.flatnonzero(sent | none)
+        return facts, (first + text[rare], t.words(rare), beside), (first + text[sent], b[sent], (once & ~none)[sent].astype(np.int64))
 
     def score(batches):
         row, lookup = TaskContext.get().partitionId() << 36, Lookup(shared.value[0])
@@ -485,35 +485,38 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             flags = out.to_numpy(zero_copy_only=False).astype(bool)
             for texts in slices(batch.column(1).to_pylist()):
                 m = len(texts)
-                (tokens, known, base, s), (word_at, words, word_a, word_q), (pair_at, b, else_) = rows_of(texts, flags[start : start + m], row, lookup)
+                (tokens, known, base, s), (word_at, words, beside), (pair_at, b, priced) = rows_of(texts, flags[start : start + m], row, lookup)
                 info = pa.StructArray.from_arrays([ids.slice(start, m), out.slice(start, m), *map(pa.array, (tokens, known, base, s))], names=names)
                 at = np.arange(row, row + m)
-                none = pa.array(np.zeros(m))
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(at), pa.array([NO_WORD] * m, pa.binary()), none, none, info], names=fields)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(at), pa.array([NO_WORD] * m, pa.binary()), pa.array(np.zeros(m, np.int64)), info], names=fields)
                 for a in range(0, len(words), 100_000):
                     part, to = words[a : a + 100_000], slice(a, a + 100_000)
                     key = np.fromiter(map(xxh64_intdigest, part, repeat(42)), np.uint64, len(part)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(word_at[to]), pa.array(key), pa.array(part, pa.binary()), pa.array(word_a[to]), pa.array(word_q[to]), pa.nulls(len(part), info.type)], names=fields)
+                    yield pa.RecordBatch.from_arrays([pa.array(word_at[to]), pa.array(key), pa.array(part, pa.binary()), pa.array(beside[to]), pa.nulls(len(part), info.type)], names=fields)
                 for a in range(0, len(b), 100_000):
                     to = slice(a, a + 100_000)
                     key = b[to].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair_at[to]), pa.array(key), pa.nulls(len(key), pa.binary()), pa.array(else_[to]), pa.array(np.zeros(len(key))), pa.nulls(len(key), info.type)], names=fields)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair_at[to]), pa.array(key), pa.nulls(len(key), pa.binary()), pa.array(priced[to]), pa.nulls(len(key), info.type)], names=fields)
                 row, start = row + m, start + m
 
     # one sort by a long for words and pairs: words are told apart by themselves, pairs have none, a text's own row meets nothing
-    rows = d.mapInArrow(score, f"row long, key long, word binary, a double, q double, info struct<id:{field_type(docs, id_col)},held_out:boolean,n_tokens:long,known:long,base:double,s:double>")
+    rows = d.mapInArrow(score, f"row long, key long, word binary, beside long, info struct<id:{field_type(docs, id_col)},held_out:boolean,n_tokens:long,known:long,base:double,s:double>")
     priced = words.select(F.xxhash64("word").alias("key_"), F.col("word").alias("word_"), "c", F.col("p").alias("x"), "y", "v").unionByName(
-        cells.filter(~top).unionByName(once).select(F.col("b").alias("key_"), F.lit(None).cast("binary").alias("word_"), F.lit(None).cast("long").alias("c"), "x", F.lit(0.0).alias("y"), F.lit(0.0).alias("v"))
+        cells.filter(~top).unionByName(once).select(F.col("b").alias("key_"), F.lit(None).cast("binary").alias("word_"), F.lit(None).cast("long").alias("c"), "x", F.col("once").alias("y"), F.lit(0.0).alias("v"))
     )
     same = (F.col("word").isNull() & F.col("word_").isNull()) | (F.col("word") == F.col("word_"))
     met = rows.join(priced, (F.col("key") == F.col("key_")) & same, "left")
+    context, follower = F.shiftright("beside", 32), F.col("beside").bitwiseAND(F.lit(LOW))
+    met = met.withColumns({"context": F.when(F.col("word").isNotNull(), context), "follower": F.when(F.col("word").isNotNull(), follower)})
+    met = met.join(F.broadcast(numbers.select(F.col("number").alias("context"), "v_")), "context", "left").join(F.broadcast(numbers.select(F.col("number").alias("follower"), "over_p")), "follower", "left")
     is_text, is_word = F.col("info").isNotNull(), F.col("info").isNull() & F.col("word").isNotNull()
     seen = is_word & F.col("c").isNotNull()
     one = met.select(
         "row", "info",
         F.when(is_text, F.col("info.known")).otherwise(seen.cast("long")).alias("known"),
         F.when(is_text, F.col("info.base")).when(seen, F.log10(F.col("c") + F.lit(1.0))).otherwise(0.0).alias("base"),
-        F.when(is_text, F.col("info.s")).when(seen, F.log10(F.col("x") + F.col("a")) + F.col("y") + F.log1p(F.col("v") * F.col("q")) / F.lit(float(np.log(10)))).when(is_word, F.lit(unknown)).otherwise(F.coalesce("x", "a")).alias("s"),
+        F.when(is_text, F.col("info.s")).when(seen, F.log10(F.col("x") + F.coalesce("v_", F.lit(0.0))) + F.col("y") + F.coalesce(F.log10(1 + F.col("v") * F.col("over_p")), F.lit(0.0)))
+        .when(is_word, F.lit(unknown)).otherwise(F.coalesce(F.col("x") - F.col("beside") * F.col("y"), F.lit(0.0))).alias("s"),
     )
     whole = one.groupBy("row").agg(
         F.max("info.id").alias("id"), F.max("info.held_out").alias("held_out"), F.max("info.n_tokens").alias("n_tokens"),
