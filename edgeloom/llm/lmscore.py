@@ -354,12 +354,12 @@ class Restaurants:
         return float(np.log10(back)), (1 - self.d) / (all_ * back)
 
     def priced_once(self, once: DataFrame, words: DataFrame) -> DataFrame:
-        """``(b, c, x, once)`` of pairs found once."""
+        """``(b, x)`` of pairs found once; not saved, since it is read once."""
         at = words.groupBy("key").agg(F.max("p").alias("p"), F.max("v").alias("v"))
         u = at.select(F.col("key").alias("u"), "v").unionByName(self.scratch.spark.range(1).select(F.lit(START).alias("u"), F.lit(self.start()[1]).alias("v")))
         x = once.select("b", F.shiftrightunsigned("b", 32).alias("u"), F.col("b").bitwiseAND(F.lit(LOW)).alias("w"))
         x = x.join(u, "u").join(at.select(F.col("key").alias("w"), "p"), "w")
-        return self.scratch.save(x.select("b", F.lit(1).cast("long").alias("c"), F.log10(F.lit(1.0) + F.col("v") / F.col("p")).alias("x")).withColumn("once", F.col("x")))
+        return x.select("b", F.log10(F.lit(1.0) + F.col("v") / F.col("p")).alias("x"))
 
 
 def pair_map(pairs: DataFrame) -> np.ndarray:
@@ -395,6 +395,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     Null text is empty (one end token); null ids count as the empty text in folds; repeated rows are learned from and scored
     each; with no training row every score is that of the uniform base; an empty table gives no rows; extra columns are not read.
+
+    The call does all the work; the frame it returns reads the scores from the shared folder, where nothing else is left.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -433,7 +435,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     once = model.priced_once(pairs.once, words)
     # (number, v_, over_p): of a fixed number of rows; the number after the last word is the start's
     numbers = spark.createDataFrame(pa.table({"number": np.arange(len(v_) + 1) + 1, "v_": np.append(v_, start_v), "over_p": np.append(1 / p, 0.0)}))
-    scratch.drop(pairs, model.u, model.w_table)
+    # Laid out by key, so the join below reads them where they lie: shuffled, they would take their disk twice while its
+    # other side, the largest of all, is there too.  A pair found once has no ``y``: it is ``x``.
+    priced = words.select(F.xxhash64("word").alias("key_"), F.col("word").alias("word_"), "c", F.col("p").alias("x"), "y", "v")
+    for some, y_ in ((cells.filter(~top), F.col("once")), (once, F.lit(None).cast("double"))):
+        priced = priced.unionByName(some.select(F.col("b").alias("key_"), F.lit(None).cast("binary").alias("word_"), F.lit(None).cast("long").alias("c"), "x", y_.alias("y"), F.lit(0.0).alias("v")))
+    priced = scratch.bucketed(priced, "key_")
+    scratch.drop(pairs, cells, words, model.u, model.w_table)
     _free(spark)
 
     names, fields = ["id", "held_out", "n_tokens", "known", "base", "s"], ["row", "key", "word", "beside", "info"]
@@ -501,10 +509,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     # one sort by a long for words and pairs: words are told apart by themselves, pairs have none, a text's own row meets nothing
     rows = d.mapInArrow(score, f"row long, key long, word binary, beside long, info struct<id:{field_type(docs, id_col)},held_out:boolean,n_tokens:long,known:long,base:double,s:double>")
-    priced = words.select(F.xxhash64("word").alias("key_"), F.col("word").alias("word_"), "c", F.col("p").alias("x"), "y", "v").unionByName(
-        cells.filter(~top).unionByName(once).select(F.col("b").alias("key_"), F.lit(None).cast("binary").alias("word_"), F.lit(None).cast("long").alias("c"), "x", F.col("once").alias("y"), F.lit(0.0).alias("v"))
-    )
-    same = (F.col("word").isNull() & F.col("word_").isNull()) | (F.col("word") == F.col("word_"))
+    # as a case: Spark would take a plain "equal or both null" as further keys to shuffle and sort by
+    same = F.when(F.col("word_").isNull(), F.col("word").isNull()).otherwise(F.col("word") == F.col("word_"))
     met = rows.join(priced, (F.col("key") == F.col("key_")) & same, "left")
     context, follower = F.shiftright("beside", 32), F.col("beside").bitwiseAND(F.lit(LOW))
     met = met.withColumns({"context": F.when(F.col("word").isNotNull(), context), "follower": F.when(F.col("word").isNotNull(), follower)})
@@ -516,10 +522,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         F.when(is_text, F.col("info.known")).otherwise(seen.cast("long")).alias("known"),
         F.when(is_text, F.col("info.base")).when(seen, F.log10(F.col("c") + F.lit(1.0))).otherwise(0.0).alias("base"),
         F.when(is_text, F.col("info.s")).when(seen, F.log10(F.col("x") + F.coalesce("v_", F.lit(0.0))) + F.col("y") + F.coalesce(F.log10(1 + F.col("v") * F.col("over_p")), F.lit(0.0)))
-        .when(is_word, F.lit(unknown)).otherwise(F.coalesce(F.col("x") - F.col("beside") * F.col("y"), F.lit(0.0))).alias("s"),
+        .when(is_word, F.lit(unknown)).otherwise(F.coalesce(F.col("x") - F.col("beside") * F.coalesce("y", "x"), F.lit(0.0))).alias("s"),
     )
-    whole = one.groupBy("row").agg(
+    whole = scratch.save(one.groupBy("row").agg(
         F.max("info.id").alias("id"), F.max("info.held_out").alias("held_out"), F.max("info.n_tokens").alias("n_tokens"),
         F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("s").alias("score"),
-    )
+    ))
+    scratch.drop(priced)
     return whole.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

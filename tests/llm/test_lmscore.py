@@ -157,6 +157,36 @@ def test_lm_small_tables(spark):
     assert len(rows) == 20 and all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows)
 
 
+def test_lm_disk(spark, monkeypatch):
+    """The join of scores reads the priced rows where they lie and shuffles its other side only; of the call's tables the scores
+    alone are left."""
+    plans, scratches = [], []
+
+    class Seen(Scratch):
+        def __init__(self, spark):
+            super().__init__(spark)
+            scratches.append(self)
+
+        def save(self, df):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().save(df)
+
+    monkeypatch.setattr(lmscore, "Scratch", Seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scores = lmscore.lm_scores(corpus(spark), held=20, held_pairs=4)
+        plans.append(scores._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join = next(p for p in plans if "key_" in p)
+    assert "Bucketed: true" in join and join.count("Exchange hashpartitioning(key#") == 1 and "Exchange hashpartitioning(key_#" not in join
+    root = scratches[0].root
+    left = spark._jvm.org.apache.hadoop.fs.Path(root)
+    left = [x.getPath().toString() for x in left.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(left)]
+    assert len(left) == 1 and all(f"{left[0].split('/edgeloom/')[1]}/" in f for f in scores.inputFiles())
+    assert scores.count() == 240
+
+
 def test_words_as_arrays(monkeypatch):
     """Words, hashes and lookups against plain Python: blanks of all kinds, empty and long texts, words that share a slot."""
     from edgeloom.llm import words as w
