@@ -21,7 +21,7 @@ from xxhash import xxh64_intdigest
 
 from edgeloom.llm.seating import draw, expected
 from edgeloom.llm.text import field_type, fold, text_bytes
-from edgeloom.llm.words import Lookup, Tokens, hashes_of, slices
+from edgeloom.llm.words import Lookup, Tokens, column_slices, hashes_of
 from edgeloom.storage import Scratch
 
 #: Words and pairs that every task holds, the most frequent ones; those of all others are joined.  Results do not depend on it.
@@ -87,7 +87,7 @@ def word_table(texts: DataFrame, scratch: Scratch) -> DataFrame:
         held: Counter = Counter()
         common = sums = None
         for b in batches:
-            for texts in slices(b.column(0).to_pylist()):
+            for texts in column_slices(b.column(0)):
                 t = Tokens(texts)
                 if common is None:
                     held.update(t.words(np.arange(len(t.hash))))
@@ -134,7 +134,7 @@ def pair_table(texts: DataFrame, scratch: Scratch, solid: np.ndarray | None = No
         held, asked, size = [], [], 0
         for batch in batches:
             out, start = batch.column(1).to_numpy(zero_copy_only=False).astype(bool), 0
-            for texts in slices(batch.column(0).to_pylist()):
+            for texts in column_slices(batch.column(0)):
                 t = Tokens(texts)
                 b, of_out = pairs_of(t), np.repeat(out[start : start + len(texts)], np.diff(t.starts))
                 held.append(b[~of_out])
@@ -491,7 +491,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         for batch in batches:
             ids, out, start = batch.column(0), batch.column(2), 0
             flags = out.to_numpy(zero_copy_only=False).astype(bool)
-            for texts in slices(batch.column(1).to_pylist()):
+            for texts in column_slices(batch.column(1)):
                 m = len(texts)
                 (tokens, known, base, s), (word_at, words, beside), (pair_at, b, priced) = rows_of(texts, flags[start : start + m], row, lookup)
                 info = pa.StructArray.from_arrays([ids.slice(start, m), out.slice(start, m), *map(pa.array, (tokens, known, base, s))], names=names)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END = b""
 #: Texts are read in slices of about so many bytes, one text at least; words are hashed in blocks of about so many.
@@ -34,6 +36,15 @@ def slices(texts: list[bytes], most: int = SLICE) -> Iterator[list[bytes]]:
         start = end
 
 
+def column_slices(column: pa.Array, most: int = SLICE) -> Iterator[list[bytes]]:
+    """The ``slices`` of an Arrow column without nulls; only one of them exists as Python objects at a time."""
+    ends, start = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while start < len(column):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield column.slice(start, end - start).to_pylist()
+        start = end
+
+
 def _blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of words of about ``BLOCK`` bytes, one word at least."""
     a, n = 0, len(offsets) - 1

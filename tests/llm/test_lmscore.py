@@ -187,6 +187,20 @@ def test_lm_disk(spark, monkeypatch):
     assert scores.count() == 240
 
 
+def test_column_slices():
+    """Columns are cut where lists are, also where a column is itself a part of another."""
+    import pyarrow as pa
+
+    from edgeloom.llm import words as w
+
+    rng = random.Random(6)
+    texts = [b"x" * rng.choice([0, 0, 1, 5, 40]) for _ in range(500)]
+    for most in (1, 7, 40, 100_000):
+        assert list(w.column_slices(pa.array(texts, pa.binary()), most)) == list(w.slices(texts, most))
+        assert list(w.column_slices(pa.array(texts, pa.binary()).slice(3, 300), most)) == list(w.slices(texts[3:303], most))
+    assert list(w.column_slices(pa.array([], pa.binary()))) == []
+
+
 def test_words_as_arrays(monkeypatch):
     """Words, hashes and lookups against plain Python: blanks of all kinds, empty and long texts, words that share a slot."""
     from edgeloom.llm import words as w
