@@ -184,3 +184,11 @@ def test_hosts_under_www_are_judged(spark):
     pages = [(i, f"https://{n}.example.org/en/{i}") for i, n in enumerate(names)] + [(90 + i, f"http://{h}/x") for i, h in enumerate(hosts[:3])]
     rows = {r["page_id"]: r for r in urls.url_verdicts(spark.createDataFrame(pages, "page_id long, url string")).collect()}
     assert all(rows[i]["score"] == rows[92]["score"] and rows[i]["verdict"] == rows[92]["verdict"] == "block" for i in (90, 91))
+
+
+def test_url_rules_of_the_contract(spark):
+    """One URL for each rule and for a longer path, with the words of the contract."""
+    want = {"http://a.com/en/1": "block", "http://www.example.com/en/71": "allow", "http://a.net/de/1": "allow", "http://m.example.net/de/81": "block", "http://example.net/de/71": "allow", "http://a.org/es/1": "block"}
+    rows = urls.url_verdicts(spark.createDataFrame(list(enumerate(want)), "page_id long, url string")).collect()
+    assert {(list(want)[r["page_id"]], r["verdict"]) for r in rows} == set(want.items())
+    assert all(r["rule"] for r in rows)
