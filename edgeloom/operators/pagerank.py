@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.operators import small
-from edgeloom.operators.graph import Graph, degrees
+from edgeloom.operators.blocks import LINKS, Blocks
+from edgeloom.operators.graph import Graph
 from edgeloom.operators.khop import check_threads
 from edgeloom.operators.layout import HUB
 from edgeloom.storage import Scratch
@@ -17,11 +18,9 @@ from edgeloom.storage import Scratch
 def pagerank(graph: Graph, iterations: int = 20, damping: float = 0.85, top: int = 0, threads: int | None = None, hub: int = HUB) -> DataFrame:
     """``(node, rank)``; ``top`` keeps the best ranks, equal ranks by node id.
 
-    Links are laid out once in buckets of their source, so a round shuffles ranks and partial sums but never the links.  A
-    node of more than ``hub`` out-edges is cut into slices, which fall into different buckets; its rank is sent to each.
-
-    A node without out-edges is linked to the null target, so one aggregation a round gives both the gathered shares and
-    the dangling mass; only that one number goes to the driver.
+    Links are laid out once as arrays of blocks of nodes, so a round moves arrays of shares and partial sums but never the links.
+    Links of a block with far more than ``hub`` of them are cut into slices, each of which is sent the block's shares.
+    Only the dangling mass of a round goes to the driver.
     """
     if top < 0:
         raise ValueError("top must not be negative")
@@ -35,28 +34,14 @@ def pagerank(graph: Graph, iterations: int = 20, damping: float = 0.85, top: int
     found, adj = small.links(graph, "out", scratch, nodes=True)
     if found:
         return best(small.rank_rows(graph, found, iterations, damping), top)
-    edges = adj.select(F.col("u").alias("src"), F.col("v").alias("dst"))
-    out = degrees(edges)
-    state = graph.nodes.join(out.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
-    state = scratch.save(state.select(F.col("id").alias("node"), "degree", F.ceil(F.coalesce("degree", F.lit(1)) / hub).cast("int").alias("slices")))
-    n = state.count()
-    if not n:
-        return state.select("node", F.lit(0.0).alias("rank"))
-    links = edges.join(state, edges["src"] == state["node"]).select("src", F.pmod(F.xxhash64("dst"), F.col("slices")).cast("int").alias("slice"), F.col("dst").alias("to"))
-    loose = state.filter("degree is null").select(F.col("node").alias("src"), F.lit(0).alias("slice"), F.lit(None).cast("long").alias("to"))
-    links = scratch.bucketed(links.unionByName(loose), "src", "slice")
-    rank, old = state.withColumn("rank", F.lit(1.0 / n)), None
-    for _ in range(iterations):
-        given = rank.select("node", (F.col("rank") / F.coalesce("degree", F.lit(1))).alias("share"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-        shares = links.join(given, (links["src"] == given["node"]) & (links["slice"] == given["slice"])).groupBy("to").agg(F.sum("share").alias("gathered"))
-        shares = scratch.save(shares)
-        loose_row = shares.filter("to is null").first()
-        base = (1.0 - damping) / n + damping * (loose_row["gathered"] if loose_row else 0.0) / n
-        rank = state.join(shares, state["node"] == shares["to"], "left").select(*state.columns, (F.lit(base) + F.lit(damping) * F.coalesce("gathered", F.lit(0.0))).alias("rank"))
-        scratch.drop(old)
-        old = shares
-    scratch.drop(links)
-    return best(rank.select("node", "rank"), top)
+    if graph.base is not None:
+        adj = scratch.save(adj)
+    nodes = adj.select(F.explode(F.array("u", "v")).alias("id")).distinct() if graph.closed else graph.nodes
+    held = Blocks(adj, nodes, scratch, min(hub, LINKS))
+    if not held.n:
+        return graph.nodes.select(F.col("id").alias("node"), F.lit(0.0).alias("rank")).filter("false")
+    rank = held.ranks(iterations, damping)
+    return best(rank, top)
 
 
 def best(rank: DataFrame, top: int) -> DataFrame:

@@ -191,3 +191,18 @@ def test_first_rows_in_discovery_order(spark):
             want += [r for r in rows if not exact or r[2] == 3][:k]
         got = khop(graph(spark, list(edges)), [3, 11], 3, exact=exact, direction="both" if both else "out", max_results=k)
         assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_pagerank_moves_arrays(spark):
+    """A large graph is laid out as rows of arrays, as many as blocks and slices, with the ranks of the small plan."""
+    from edgeloom.operators.blocks import Blocks
+    from edgeloom.storage import Scratch
+
+    rnd = random.Random(4)
+    edges = sorted({(rnd.randrange(90) * 5 - 100, rnd.randrange(90) * 5 - 100) for _ in range(300)} | {(0, i * 5) for i in range(60)})
+    want = {r["node"]: r["rank"] for r in pagerank(graph(spark, edges), 7).collect()}
+    adj = spark.createDataFrame(edges, "u long, v long")
+    held = Blocks(adj, adj.selectExpr("explode(array(u, v)) AS id").distinct(), Scratch(spark), 50)
+    assert 1 < held.links.count() <= 2 * (len(edges) // 50 + 1)
+    got = {r["node"]: r["rank"] for r in held.ranks(7, 0.85).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
