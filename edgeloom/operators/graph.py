@@ -28,7 +28,8 @@ class Graph:
     ``undirected`` graphs hold every edge in both orientations, so all three directions read the same edges.
     ``in_equals_out`` says the same of a directed graph whose table stores both orientations.  In a ``closed`` graph every
     node is an end of an edge; the tables of a ``fixed`` one (a snapshot) never change.  An overlaid graph knows its ``base``,
-    the ``changed`` pairs whose edges of the base no longer count, and the ``added`` edges.
+    the ``changed`` pairs whose edges of the base no longer count, and the ``added`` edges.  ``rows`` are the edges before
+    repeats were dropped and before they were mirrored, where they lie as the table has them.
     """
 
     edges: DataFrame
@@ -42,16 +43,18 @@ class Graph:
     base: Graph | None = None
     changed: DataFrame | None = None
     added: DataFrame | None = None
+    rows: DataFrame | None = None
 
     @classmethod
     def from_edges(cls, df: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None, directed: bool = True) -> Graph:
         """Rows with a null endpoint are dropped, repeated edges kept once with their least weight, self loops kept."""
         w = as_weight(F.col(weight)) if weight else F.lit(1.0)
         raw = df.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"), w.alias("w")).dropna(subset=["src", "dst"])
+        rows = raw
         if not directed:
             raw = mirrored(raw)
         edges = raw.groupBy("src", "dst").agg(F.min("w").alias("w")) if weight else raw.dropDuplicates(["src", "dst"])
-        return cls(edges, endpoints(edges), directed, bool(weight), not directed, closed=True)
+        return cls(edges, endpoints(edges), directed, bool(weight), not directed, closed=True, rows=rows)
 
     def leads_back(self, direction: str) -> bool:
         """Whether the adjacency holds the reverse of each of its links."""

@@ -206,3 +206,18 @@ def test_pagerank_moves_arrays(spark):
     assert 1 < held.links.count() <= 2 * (len(edges) // 50 + 1)
     got = {r["node"]: r["rank"] for r in held.ranks(7, 0.85).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_components_contract_where_links_lie(spark, monkeypatch):
+    """Links that lie together go through no round; parts that are torn apart are tied."""
+    from edgeloom.operators import components as cc
+
+    spark.conf.set(CONF, "0")
+    rounds = []
+    star = cc._small_star
+    monkeypatch.setattr(cc, "_small_star", lambda e: rounds.append(1) or star(e))
+    lie = spark.createDataFrame([(c * 100 + i, c * 100 + i + 1) for c in range(9) for i in range(20)] + [(5000, 5000), (3, 3)], "src long, dst long").coalesce(1)
+    got = {r["node"]: r["component"] for r in components(Graph.from_edges(lie)).collect()}
+    assert not rounds and got == {c * 100 + i: c * 100 for c in range(9) for i in range(21)} | {5000: 5000}
+    torn = lie.repartition(7)
+    assert {r["node"]: r["component"] for r in components(Graph.from_edges(torn)).collect()} == got and rounds
