@@ -46,14 +46,18 @@ class Graph:
     rows: DataFrame | None = None
 
     @classmethod
-    def from_edges(cls, df: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None, directed: bool = True) -> Graph:
-        """Rows with a null endpoint are dropped, repeated edges kept once with their least weight, self loops kept."""
+    def from_edges(cls, df: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None, directed: bool = True, distinct: bool = False) -> Graph:
+        """Rows with a null endpoint are dropped, repeated edges kept once with their least weight, self loops kept.  ``distinct``
+        says that no directed edge is repeated, so repeats are not looked for.  Undirected edges are made distinct first and
+        mirrored then, so the search for repeats holds each once."""
         w = as_weight(F.col(weight)) if weight else F.lit(1.0)
         raw = df.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"), w.alias("w")).dropna(subset=["src", "dst"])
         rows = raw
         if not directed:
-            raw = mirrored(raw)
-        edges = raw.groupBy("src", "dst").agg(F.min("w").alias("w")) if weight else raw.dropDuplicates(["src", "dst"])
+            raw = raw.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w")
+        if not (distinct and directed):
+            raw = raw.groupBy("src", "dst").agg(F.min("w").alias("w")) if weight else raw.dropDuplicates(["src", "dst"])
+        edges = raw if directed else mirrored(raw)
         return cls(edges, endpoints(edges), directed, bool(weight), not directed, closed=True, rows=rows)
 
     def leads_back(self, direction: str) -> bool:

@@ -30,7 +30,8 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).distinct()
+    """A part and its supplier, for every line item; the graph drops repeats."""
+    return table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst"))
 
 
 def order_chains(spark: SparkSession, sf_dir: str) -> DataFrame:

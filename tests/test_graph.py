@@ -221,3 +221,19 @@ def test_components_contract_where_links_lie(spark, monkeypatch):
     assert not rounds and got == {c * 100 + i: c * 100 for c in range(9) for i in range(21)} | {5000: 5000}
     torn = lie.repartition(7)
     assert {r["node"]: r["component"] for r in components(Graph.from_edges(torn)).collect()} == got and rounds
+
+
+def test_repeats_are_looked_for_once(spark):
+    """One search for repeats in a task: of undirected edges before they are mirrored, none over edges known to be distinct."""
+    from edgeloom.plans.catalogue import _mapped, contact
+
+    sf = "/root/testdata/sf0.001"
+    ways = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [")
+    assert ways(contact(spark, sf).edges) == 1
+    assert _mapped(contact(spark, sf))._jdf.queryExecution().optimizedPlan().toString().startswith("Project")
+    rows = spark.createDataFrame([(1, 2, 3.0), (2, 1, 1.0), (1, 2, 2.0), (4, 4, 5.0), (None, 1, 1.0)], "src long, dst long, w double")
+    g = Graph.from_edges(rows, weight="w", directed=False)
+    plan = g.edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
+    assert sorted(map(tuple, g.edges.collect())) == [(1, 2, 1.0), (2, 1, 1.0), (4, 4, 5.0)]
+    assert sorted(map(tuple, Graph.from_edges(rows, directed=False).edges.select("src", "dst").collect())) == [(1, 2), (2, 1), (4, 4)]
