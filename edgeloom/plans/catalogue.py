@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,7 @@ def query(name: str, fn: Query, sql: str | None = None) -> None:
 
 
 def contact(spark, d) -> Graph:
-    return Graph.from_edges(fx.contact(spark, d), distinct=True)
+    return replace(Graph.from_edges(fx.contact(spark, d), distinct=True), in_equals_out=True)
 
 
 def geo(spark, d) -> Graph:
