@@ -9,19 +9,17 @@ rows only where a score needs them.
 from __future__ import annotations
 
 import gc
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
+from edgeloom.llm.classes import blobs, class_count, class_keys, dealt, in_classes, partitions, spread, unspread, whole
 from edgeloom.llm.seating import draw, expected
 from edgeloom.llm.text import field_type, fold, text_bytes
-from edgeloom.llm.words import Lookup, Tokens, column_slices, hashes_of
+from edgeloom.llm.words import END, Counts, Lookup, Tokens, binary_column, column_hashes, column_slices, gathered, hashes_of
 from edgeloom.storage import Scratch
 
 #: Words and pairs that every task holds, the most frequent ones; those of all others are joined.  Results do not depend on it.
@@ -31,7 +29,7 @@ MAP_BITS = 1 << 27
 SWEEPS, BURN_IN = 3, 1
 STRENGTH = 1.0
 UNKNOWN = 0.5
-FLUSH, COMMON, PAIRS = 200_000, 32_768, 1_000_000
+FLUSH, COMMON, PAIRS = 1_000_000, 32_768, 1_000_000
 START = 0xFFFFFFFF
 #: Begins no UTF-8, so it is no word.
 NO_WORD = b"\xff"
@@ -77,58 +75,82 @@ def pairs_of(t: Tokens) -> np.ndarray:
 
 def word_table(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """``(word, c, key)`` over the training texts; every text ends with the end token (the empty word).  Tasks count in memory
-    up to a fixed number of distinct words, then hand on partial counts; the commonest words of a task's first slice are
+    up to a fixed number of words besides the commonest, then hand on partial counts; the commonest words of a task's first slice are
     looked up and counted as arrays."""
 
-    def counted(words, counts):
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64()), pa.array(keys_of(words).view(np.int64))], names=["word", "c", "key"])
+    def counted(words, keys, counts):
+        return pa.RecordBatch.from_arrays([words, pa.array((keys & np.uint64(LOW)).view(np.int64)), pa.array(counts)], names=["word", "key", "c"])
+
+    def flushed(held):
+        for hash_, chars, offsets, c in held.sums():
+            for s in range(0, len(c), 100_000):
+                to = offsets[s : s + 100_001]
+                yield counted(binary_column(chars[to[0] : to[-1]], to - to[0]), hash_[s : s + 100_000], c[s : s + 100_000])
 
     def run(batches):
-        held: Counter = Counter()
+        held, ends = Counts(), 0
         common = sums = None
         for b in batches:
             for texts in column_slices(b.column(0)):
                 t = Tokens(texts)
+                ends += len(texts)
                 if common is None:
-                    held.update(t.words(np.arange(len(t.hash))))
-                    top = [w for w, _ in held.most_common(COMMON)]
-                    common, sums = Lookup(top), np.array([held.pop(w) for w in top], np.int64)
+                    held.add(t.word_hash, t.chars, t.offsets)
+                    found, words = [*held.sums()], []
+                    for hash_, chars, offsets, c in found:
+                        top = np.sort(np.argsort(-c, kind="stable")[:COMMON]) if chars is found[0][1] else np.zeros(0, np.int64)
+                        rest = np.setdiff1d(np.arange(len(c)), top, assume_unique=True)
+                        if len(top):
+                            top = top[np.argsort(-c[top], kind="stable")]
+                            words, sums = [chars[offsets[i] : offsets[i + 1]].tobytes() for i in top.tolist()], c[top]
+                        held.add(hash_[rest], *gathered(chars, offsets[rest], np.diff(offsets)[rest]), c[rest])
+                    if words:
+                        common = Lookup(words)
                     continue
                 number = common.find(t)
-                sums += np.bincount(number[number >= 0], minlength=len(sums))
-                held.update(t.words(np.flatnonzero(number < 0)))
-                if len(held) >= FLUSH:
-                    yield counted(list(held), list(held.values()))
-                    held = Counter()
-        yield counted(list(held), list(held.values()))
+                sums = sums + np.bincount(number[number >= 0], minlength=len(sums))
+                held.add(*t.some(t.word_at[number[t.word_at] < 0]))
+                if held.size >= FLUSH:
+                    yield from flushed(held)
+        yield from flushed(held)
+        if ends:
+            yield counted(pa.array([END], pa.binary()), np.zeros(1, np.uint64), np.array([ends]))
         if common:
-            yield counted(list(common.number), sums)
+            yield counted(pa.array(list(common.number), pa.binary()), common.hash, sums)
 
-    counts = texts.mapInArrow(run, "word binary, c long, key long")
+    counts = texts.mapInArrow(run, "word binary, key long, c long")
     return scratch.save(counts.groupBy("word", "key").agg(F.sum("c").alias("c")))
 
 
+#: What a row met in scoring is of.
+TEXT, WORD, ARRAYS = 0, 1, 2
 #: What a pair found once has a row for: a held-out text holds it, or tasks hold neither of its words.
 ASKED, BOTH_RARE = 0, 1
 
 
-def pair_table(texts: DataFrame, scratch: Scratch, solid: np.ndarray | None = None) -> DataFrame:
+def pair_table(texts: DataFrame, scratch: Scratch, solid: np.ndarray | None = None, n: int = 0) -> DataFrame:
     """``(b, c)``: pairs that the training texts hold twice or more; all texts are, but those marked in a column ``held_out``.
 
     Its attribute ``once(b, why)`` has the pairs found once of which neither word's key is in ``solid`` (sorted) or which a
-    held-out text holds too; with no ``solid`` it has all, those of a text's start as well.  Tasks count a fixed number of tokens at a time; what they hand on, pairs of held-out texts with
-    the count 0, is sorted by pair, which spills where it must, and summed in one pass, since most pairs come from one task
-    only and hashing them before and after the shuffle would cost more than it combines."""
+    held-out text holds too; with no ``solid`` it has all, those of a text's start as well.  Tasks count a fixed number of tokens
+    at a time and hand the pairs on as arrays, one for each class of pairs, those of held-out texts with the count 0; a class, of
+    fixed size by the number ``n`` of tokens, is sorted and summed as an array."""
+    classes, parts = class_count(scratch.spark, n), partitions(scratch.spark)
     known = scratch.spark.sparkContext.broadcast(np.zeros(0, np.uint64) if solid is None else np.append(solid, np.uint64(START)))
     if "held_out" not in texts.columns:
         texts = texts.withColumn("held_out", F.lit(False))
 
     def counted(held, asked):
         for part, of in ((held, 1), (asked, 0)):
-            if part:
-                b, n = np.unique(np.concatenate(part), return_counts=True)
-                for s in range(0, len(b), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(b[s : s + 100_000].view(np.int64)), pa.array(n[s : s + 100_000] * of)], names=["b", "n"])
+            if sum(map(len, part)):
+                m, n = np.unique(spread(np.concatenate(part)), return_counts=True)
+                # in a byte each: larger counts are handed on in parts
+                turns = (n + 254) // 255
+                rest = n - 255 * (turns - 1)
+                m, n = np.repeat(m, turns), np.full(turns.sum(), 255, np.uint8)
+                n[np.cumsum(turns) - 1] = rest
+                k, bounds = dealt(m, classes)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array((k % parts).astype(np.int32)), blobs(m, bounds), blobs(n * np.uint8(of), bounds)], names=["k", "part", "m", "n"])
 
     def run(batches):
         held, asked, size = [], [], 0
@@ -158,20 +180,18 @@ def pair_table(texts: DataFrame, scratch: Scratch, solid: np.ndarray | None = No
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([b[more], b[once]])), pa.array(np.concatenate([c[more], c[once]])), whys], names=["b", "c", "why"])
 
     def summed(batches):
-        last = np.zeros((3, 0), np.int64)
-        for batch in batches:
-            b, n = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(last[:2]))
-            if not len(b):
-                continue
-            first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-            least = np.minimum.reduceat(np.concatenate([last[2], n[last.shape[1] :]]), first)
-            b, c = b[first], np.add.reduceat(n, first)
-            yield rows(b[:-1], c[:-1], least[:-1])
-            last = np.array([b[-1:], c[-1:], least[-1:]])
-        yield rows(*last)
-
-    parts = texts.select("t", "held_out").mapInArrow(run, "b long, n long").repartition("b").sortWithinPartitions("b")
-    saved = scratch.save(parts.mapInArrow(summed, "b long, c long, why long"))
+        for ms, ns in in_classes(batches):
+            m, n = whole(ms, np.uint64), whole(ns, np.uint8)
+            order = np.argsort(m)
+            m, n = m[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+            b, c, least = unspread(m[first]).view(np.int64), np.add.reduceat(n, first, dtype=np.int64), np.minimum.reduceat(n, first)
+            # neighbours share their context
+            order = np.argsort(b)
+            yield rows(b[order], c[order], least[order])
+
+    parts_ = texts.select("t", "held_out").mapInArrow(run, "k long, part int, m binary, n binary").repartitionById(parts, "part")
+    saved = scratch.save(parts_.sortWithinPartitions("k").select("k", "m", "n").mapInArrow(summed, "b long, c long, why long"))
     pairs = saved.filter("c > 1").select("b", "c")
     pairs.once, pairs._edgeloom_path = saved.filter("c = 1").select("b", "why"), saved._edgeloom_path
     return pairs
@@ -326,7 +346,7 @@ class Restaurants:
         return self.scratch.save(x.select("b", "c", (F.log10(p) - F.log10(F.col("back") * F.col("p"))).alias("x"), F.log10(1 + F.lit(1 - self.d) / (F.col("all") * F.col("back") * F.col("p"))).alias("once")))
 
     def priced_words(self, table: DataFrame) -> DataFrame:
-        """``(word, key, c, p, y, v)``: probability in the root, log10 share of the root in the word's own restaurant, and what a
+        """``(word, key, c, p, y, v, hash)``: probability in the root, log10 share of the root in the word's own restaurant, and what a
         pair found once has there over that share: with it, it adds ``log10(1 + v / p)`` by its context's ``v`` and word's ``p``."""
         root, scale = self.root, STRENGTH + self.root.total
 
@@ -335,7 +355,8 @@ class Restaurants:
                 c = b.column("c").to_numpy()
                 p = (c - root.d * root.mean_tables(c) + root.opens) / scale
                 p = np.where(b.column("p").is_null().to_numpy(zero_copy_only=False), p, b.column("p").fill_null(1.0).to_numpy())
-                yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("word", "key", "c")), pa.array(p), b.column("y"), b.column("v")], names=["word", "key", "c", "p", "y", "v"])
+                whole_hash = pa.array(column_hashes(b.column("word")).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("word", "key", "c")), pa.array(p), b.column("y"), b.column("v"), whole_hash], names=["word", "key", "c", "p", "y", "v", "hash"])
 
         n = F.sum("c").over(Window.partitionBy("key")).alias("n")
         m = table.select("word", "key", "c", n).join(self.w, F.col("key") == F.col("w"), "left").join(self.u, F.col("key") == F.col("u"), "left")
@@ -344,7 +365,7 @@ class Restaurants:
         is_end = F.length("word") == 0
         y, v = F.when(is_end, 0.0).otherwise(F.log10(back)), F.when(is_end, 0.0).otherwise(F.lit(1 - self.d) / (all_ * back))
         m = m.select("word", "key", "c", "p", y.alias("y"), v.alias("v"))
-        return self.scratch.save(m.mapInArrow(alone, "word binary, key long, c long, p double, y double, v double"))
+        return self.scratch.save(m.mapInArrow(alone, "word binary, key long, c long, p double, y double, v double, hash long"))
 
     def start(self) -> tuple[float, float]:
         """The ``y`` and ``v`` of the start of a text."""
@@ -409,7 +430,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     frequent = rung(F.col("c")) >= least_rung(steps, held)
     # keys that only a held word has: of a fixed number
     solid = table.join(F.broadcast(table.filter(frequent).select("key").distinct()), "key", "left_semi").groupBy("key").count().filter("count = 1").select("key").toArrow()
-    pairs = pair_table(d.select("t", "held_out"), scratch, np.sort(solid["key"].to_numpy().view(np.uint64)))
+    pairs = pair_table(d.select("t", "held_out"), scratch, np.sort(solid["key"].to_numpy().view(np.uint64)), n)
     _free(spark)
     pair_steps = {r["r"]: r["count"] for r in pairs.groupBy(rung(F.col("c")).alias("r")).count().collect()}
     model = Restaurants(pairs, table, scratch, n, v, facts["texts"], steps)
@@ -433,21 +454,47 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         return (bitmap.value[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
     once = model.priced_once(pairs.once, words)
-    # (number, v_, over_p): of a fixed number of rows; the number after the last word is the start's
-    numbers = spark.createDataFrame(pa.table({"number": np.arange(len(v_) + 1) + 1, "v_": np.append(v_, start_v), "over_p": np.append(1 / p, 0.0)}))
     # Laid out by key, so the join below reads them where they lie: shuffled, they would take their disk twice while its
-    # other side, the largest of all, is there too.  A pair found once has no ``y``: it is ``x``.
-    priced = words.select(F.xxhash64("word").alias("key_"), F.col("word").alias("word_"), "c", F.col("p").alias("x"), "y", "v")
-    for some, y_ in ((cells.filter(~top), F.col("once")), (once, F.lit(None).cast("double"))):
-        priced = priced.unionByName(some.select(F.col("b").alias("key_"), F.lit(None).cast("binary").alias("word_"), F.lit(None).cast("long").alias("c"), "x", y_.alias("y"), F.lit(0.0).alias("v")))
+    # other side, the largest of all, is there too.  Priced pairs go to that other side as arrays: they need no rows.
+    priced = words.select(F.col("hash").alias("key_"), F.col("word").alias("word_"), "c", "p", "y", "v")
+    classes = class_count(spark, n)
+    keys = class_keys(spark, classes)
     priced = scratch.bucketed(priced, "key_")
+
+    def in_arrays(row, b, *columns):
+        """Rows of the classes of some pairs: a number below 0 is that of prices, else that of the text that texts are counted from."""
+        m = spread(b)
+        order = np.argsort(m)
+        m = m[order]
+        k, bounds = dealt(m, classes)
+        return [pa.array(np.full(len(k), row)), pa.array(keys[k]), blobs(m, bounds), *(blobs(c[order], bounds) for c in columns)]
+
+    def pack(batches):
+        held, size = [], 0
+
+        def packed():
+            b, x, y = map(np.concatenate, zip(*held))
+            return pa.RecordBatch.from_arrays(in_arrays(-1, b.view(np.uint64), x, y), names=["row", "key", "m", "x", "once"])
+
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            size += len(batch)
+            if size >= PAIRS:
+                yield packed()
+                held, size = [], 0
+        if size:
+            yield packed()
+
+    prices = cells.filter(~top).select("b", "x", "once").unionByName(once.select("b", "x", F.col("x").alias("once")))
+    prices = scratch.save(prices.mapInArrow(pack, "row long, key long, m binary, x binary, once binary"))
     scratch.drop(pairs, cells, words, model.u, model.w_table)
     _free(spark)
 
-    names, fields = ["id", "held_out", "n_tokens", "known", "base", "s"], ["row", "key", "word", "beside", "info"]
+    names, fields = ["id", "held_out", "n_tokens", "known", "base", "s"], ["row", "key", "word", "beside", "info", "m", "x"]
+    info_kind = f"struct<id:{field_type(docs, id_col)},held_out:boolean,n_tokens:long,known:long,base:double,s:double>"
 
     def rows_of(texts, out, first, lookup):
-        """The rows of some texts: one for each text, one for each of its words and pairs that tasks do not hold.
+        """The rows of some texts: one for each text and each of its words that tasks do not hold; and the pairs not held.
 
         Pairs of training texts that tasks do not hold are priced as found once; what a row of a pair found more often adds is
         beyond that.  With held words the price is known here; with one word that is not held, the numbers of those beside it
@@ -484,10 +531,16 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         after[at] = 0
         beside = (np.where(once[rare], before[rare], 0) << 32) | np.append(after, 0)[rare + 1]
         sent = np.flatnonzero(sent | none)
-        return facts, (first + text[rare], t.words(rare), beside), (first + text[sent], b[sent], (once & ~none)[sent].astype(np.int64))
+        return facts, (first + text[rare], t.some(rare), beside), (text[sent], b[sent], once[sent] & ~none[sent])
 
     def score(batches):
-        row, lookup = TaskContext.get().partitionId() << 36, Lookup(shared.value[0])
+        base_row, lookup = TaskContext.get().partitionId() << 36, Lookup(shared.value[0])
+        row, asked, size = base_row, [], 0
+
+        def questions(info_type):
+            at, key, m, texts = in_arrays(base_row, *map(np.concatenate, zip(*asked)))
+            return pa.RecordBatch.from_arrays([at, key, *(pa.nulls(len(at), x) for x in (pa.binary(), pa.int64(), info_type)), m, texts], names=fields)
+
         for batch in batches:
             ids, out, start = batch.column(0), batch.column(2), 0
             flags = out.to_numpy(zero_copy_only=False).astype(bool)
@@ -495,38 +548,95 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                 m = len(texts)
                 (tokens, known, base, s), (word_at, words, beside), (pair_at, b, priced) = rows_of(texts, flags[start : start + m], row, lookup)
                 info = pa.StructArray.from_arrays([ids.slice(start, m), out.slice(start, m), *map(pa.array, (tokens, known, base, s))], names=names)
-                at = np.arange(row, row + m)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(at), pa.array([NO_WORD] * m, pa.binary()), pa.array(np.zeros(m, np.int64)), info], names=fields)
-                for a in range(0, len(words), 100_000):
-                    part, to = words[a : a + 100_000], slice(a, a + 100_000)
-                    key = np.fromiter(map(xxh64_intdigest, part, repeat(42)), np.uint64, len(part)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(word_at[to]), pa.array(key), pa.array(part, pa.binary()), pa.array(beside[to]), pa.nulls(len(part), info.type)], names=fields)
-                for a in range(0, len(b), 100_000):
-                    to = slice(a, a + 100_000)
-                    key = b[to].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair_at[to]), pa.array(key), pa.nulls(len(key), pa.binary()), pa.array(priced[to]), pa.nulls(len(key), info.type)], names=fields)
+                at, none = np.arange(row, row + m), pa.nulls(m, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(at), pa.array([NO_WORD] * m, pa.binary()), pa.array(np.zeros(m, np.int64)), info, none, none], names=fields)
+                hash_, chars, offsets = words
+                for a in range(0, len(hash_), 100_000):
+                    to, ends = slice(a, a + 100_000), offsets[a : a + 100_001]
+                    part, none = binary_column(chars[ends[0] : ends[-1]], ends - ends[0]), pa.nulls(len(ends) - 1, pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(word_at[to]), pa.array(hash_[to].view(np.int64)), part, pa.array(beside[to]), pa.nulls(len(part), info.type), none, none], names=fields)
+                # the text's number and, in the last bit, whether the pair is priced as found once
+                asked.append((b, ((row - base_row + pair_at) << 1 | priced).astype(np.uint32)))
+                size += len(b)
+                if size >= PAIRS:
+                    yield questions(info.type)
+                    asked, size = [], 0
                 row, start = row + m, start + m
+        if size:
+            yield questions(info.type)
+
+    def answered(rows):
+        """Texts and what the pairs of one class add to them."""
+        prices, asked = ([r for r in rows if (r[0] < 0) == of] for of in (True, False))
+        if not prices or not asked:
+            return
+        m, x, y = (whole([r[i] for r in prices], kind) for i, kind in ((1, np.uint64), (2, np.float64), (3, np.float64)))
+        order = np.argsort(m)
+        m, x, y = m[order], x[order], y[order]
+        for base_row, pairs, texts, _ in asked:
+            pairs, texts = np.frombuffer(pairs.as_buffer(), np.uint64), np.frombuffer(texts.as_buffer(), np.uint32)
+            at = np.minimum(np.searchsorted(m, pairs), len(m) - 1)
+            hit = np.flatnonzero(m[at] == pairs)
+            at, texts = at[hit], texts[hit]
+            yield base_row + (texts >> np.uint32(1)).astype(np.int64), x[at] - (texts & np.uint32(1)) * y[at]
+
+    def meet(batches):
+        """Priced texts, words and pairs, summed by text as far as a fixed number of them are held."""
+        over_p, v_ = (np.concatenate([[0.0], x, [y]]) for x, y in ((shared.value[3], 0.0), (shared.value[4], start_v)))
+        names, held, size, class_, key = ["row", "info", "known", "base", "s"], [], 0, [], None
+
+        def flushed(info_type):
+            row, known, base, s = map(np.concatenate, zip(*held))
+            at, where = np.unique(row, return_inverse=True)
+            sums = [np.bincount(where, x, len(at)) for x in (known, base, s)]
+            for a in range(0, len(at), 100_000):
+                to = slice(a, a + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(at[to]), pa.nulls(len(at[to]), info_type), pa.array(sums[0][to].astype(np.int64)), pa.array(sums[1][to]), pa.array(sums[2][to])], names=names)
+
+        def of_class():
+            for row, s in answered(class_):
+                held.append((row, np.zeros(len(row), np.int64), np.zeros(len(row)), s))
+                yield len(row)
 
-    # one sort by a long for words and pairs: words are told apart by themselves, pairs have none, a text's own row meets nothing
-    rows = d.mapInArrow(score, f"row long, key long, word binary, beside long, info struct<id:{field_type(docs, id_col)},held_out:boolean,n_tokens:long,known:long,base:double,s:double>")
-    # as a case: Spark would take a plain "equal or both null" as further keys to shuffle and sort by
-    same = F.when(F.col("word_").isNull(), F.col("word").isNull()).otherwise(F.col("word") == F.col("word_"))
+        for batch in batches:
+            row, kind = batch.column("row"), batch.column("kind").to_numpy()
+            of_text, of_word = (pa.array(kind == k) for k in (TEXT, WORD))
+            if of_text.true_count:
+                info = batch.column("info").filter(of_text)
+                yield pa.RecordBatch.from_arrays([row.filter(of_text), info, *(info.field(x) for x in ("known", "base", "s"))], names=names)
+            if of_word.true_count:
+                some = batch.filter(of_word)
+                seen = some.column("c").is_valid().to_numpy(zero_copy_only=False)
+                c, p, y, v = (some.column(x).fill_null(1).to_numpy() for x in ("c", "p", "y", "v"))
+                beside = some.column("beside").to_numpy()
+                s = np.where(seen, np.log10(p + v_[beside >> 32]) + y + np.log10(1 + v * over_p[beside & LOW]), unknown)
+                held.append((some.column("row").to_numpy(), seen.astype(np.int64), np.where(seen, np.log10(c + 1.0), 0.0), s))
+                size += len(some)
+            for i in np.flatnonzero(kind == ARRAYS).tolist():
+                k = batch.column("key")[i].as_py()
+                if k != key:
+                    size += sum(of_class())
+                    class_, key = [], k
+                class_.append((row[i].as_py(), *(batch.column(x)[i] for x in ("m", "x", "once"))))
+            if size >= PAIRS:
+                yield from flushed(batch.column("info").type)
+                held, size = [], 0
+        size += sum(of_class())
+        if size:
+            yield from flushed(batch.column("info").type)
+
+    # one sort by a long for words and classes of pairs: words are told apart by themselves, the other rows meet nothing
+    rows = d.mapInArrow(score, f"row long, key long, word binary, beside long, info {info_kind}, m binary, x binary").unionByName(prices, allowMissingColumns=True)
+    rows = rows.repartition(partitions(spark), "key").sortWithinPartitions("key")
+    # as a case: Spark would take a plain equality as a further key to shuffle and sort by
+    same = F.when(F.col("word").isNotNull(), F.col("word") == F.col("word_"))
     met = rows.join(priced, (F.col("key") == F.col("key_")) & same, "left")
-    context, follower = F.shiftright("beside", 32), F.col("beside").bitwiseAND(F.lit(LOW))
-    met = met.withColumns({"context": F.when(F.col("word").isNotNull(), context), "follower": F.when(F.col("word").isNotNull(), follower)})
-    met = met.join(F.broadcast(numbers.select(F.col("number").alias("context"), "v_")), "context", "left").join(F.broadcast(numbers.select(F.col("number").alias("follower"), "over_p")), "follower", "left")
-    is_text, is_word = F.col("info").isNotNull(), F.col("info").isNull() & F.col("word").isNotNull()
-    seen = is_word & F.col("c").isNotNull()
-    one = met.select(
-        "row", "info",
-        F.when(is_text, F.col("info.known")).otherwise(seen.cast("long")).alias("known"),
-        F.when(is_text, F.col("info.base")).when(seen, F.log10(F.col("c") + F.lit(1.0))).otherwise(0.0).alias("base"),
-        F.when(is_text, F.col("info.s")).when(seen, F.log10(F.col("x") + F.coalesce("v_", F.lit(0.0))) + F.col("y") + F.coalesce(F.log10(1 + F.col("v") * F.col("over_p")), F.lit(0.0)))
-        .when(is_word, F.lit(unknown)).otherwise(F.coalesce(F.col("x") - F.col("beside") * F.coalesce("y", "x"), F.lit(0.0))).alias("s"),
-    )
-    whole = scratch.save(one.groupBy("row").agg(
+    kind = F.when(F.col("info").isNotNull(), TEXT).when(F.col("word").isNotNull(), WORD).otherwise(ARRAYS)
+    met = met.select("row", "key", kind.alias("kind"), "beside", "info", "m", "x", "once", "c", "p", "y", "v")
+    one = met.mapInArrow(meet, f"row long, info {info_kind}, known long, base double, s double")
+    scores = scratch.save(one.groupBy("row").agg(
         F.max("info.id").alias("id"), F.max("info.held_out").alias("held_out"), F.max("info.n_tokens").alias("n_tokens"),
         F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("s").alias("score"),
     ))
-    scratch.drop(priced)
-    return whole.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    scratch.drop(priced, prices)
+    return scores.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -68,6 +68,73 @@ def _polynomials(chars: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return _mixed(out)
 
 
+def gathered(chars: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of some words put together, with their offsets."""
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(offsets[-1], np.uint8)
+    for a, z in _blocks(offsets):
+        at = np.repeat(begin[a:z] - offsets[a:z], size[a:z])
+        out[offsets[a] : offsets[z]] = chars[at + np.arange(offsets[a], offsets[z])]
+    return out, offsets
+
+
+def binary_column(chars: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Words, of less than 2 GB in all, as an Arrow column."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(chars)])
+
+
+def column_hashes(column: pa.Array) -> np.ndarray:
+    """The hashes of an Arrow column of words without nulls; that of the end is 0."""
+    _, at, chars = column.buffers()
+    offsets = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    size, out = np.diff(offsets), np.zeros(len(column), np.uint64)
+    if len(column) and offsets[-1] > offsets[0]:
+        some = np.flatnonzero(size)
+        out[some] = _polynomials(np.frombuffer(chars, np.uint8)[offsets[0] : offsets[-1]], np.concatenate([[0], np.cumsum(size[some])]))
+    return out
+
+
+class Counts:
+    """Words, none of them empty, with counts: collected as arrays, then summed by hash.  Words taken as equal are compared byte
+    by byte, and one that only shares its hash with another is counted apart."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, hash_: np.ndarray, chars: np.ndarray, offsets: np.ndarray, counts: np.ndarray | None = None) -> None:
+        self.parts.append((hash_, chars, np.diff(offsets), np.ones(len(hash_), np.int64) if counts is None else counts))
+        self.size += len(hash_)
+
+    def sums(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """``(hash, chars, offsets, counts)`` of different words, once for nearly all and once more for each turn of words that
+        share their hash with one before; nothing is kept."""
+        if not self.size:
+            return
+        hash_, chars, size, counts = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts, self.size = [], 0
+        begin = np.cumsum(size) - size
+        while len(hash_):
+            order = np.argsort(hash_, kind="stable")
+            h = hash_[order]
+            is_first = np.concatenate([[True], h[1:] != h[:-1]])
+            first = np.flatnonzero(is_first)
+            model = order[first][np.cumsum(is_first) - 1]
+            same = size[order] == size[model]
+            again = np.flatnonzero(same & ~is_first)
+            ends = np.concatenate([[0], np.cumsum(size[order[again]])])
+            for a, z in _blocks(ends):
+                at = again[a:z]
+                n = size[order[at]]
+                place = np.arange(ends[a], ends[z]) - np.repeat(ends[a:z], n)
+                equal = chars[np.repeat(begin[order[at]], n) + place] == chars[np.repeat(begin[model[at]], n) + place]
+                if not equal.all():
+                    same[at] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+            one = order[first]
+            yield hash_[one], *gathered(chars, begin[one], size[one]), np.add.reduceat(counts[order] * same, first)
+            left = order[~same]
+            hash_, size, counts, begin = hash_[left], size[left], counts[left], begin[left]
+
+
 def hashes_of(words: list[bytes]) -> np.ndarray:
     """The same hashes for a list of words; that of the end is 0."""
     size = np.fromiter(map(len, words), np.int64, len(words))
@@ -106,6 +173,16 @@ class Tokens:
         return [self.data[a:z] for a, z in zip(begin.tolist(), until.tolist())]
 
 
+    def some(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, bytes and offsets of the words at some places, ends as empty words."""
+        text = np.searchsorted(self.starts[1:], at, "right")
+        number, is_word = at - text, at != self.starts[text + 1] - 1
+        begin, size = np.zeros((2, len(at)), np.int64)
+        begin[is_word] = self.offsets[number[is_word]]
+        size[is_word] = self.offsets[number[is_word] + 1] - begin[is_word]
+        return self.hash[at], *gathered(self.chars, begin, size)
+
+
 class Lookup:
     """Finds words of a fixed list.  Two words in one slot: the earlier in the list has it, so frequent words come first."""
 
@@ -119,7 +196,9 @@ class Lookup:
         self.shift = np.uint64(64 - bits)
         self.slot = np.full(1 << bits, -1, np.int32)
         back = np.flatnonzero(size)[::-1]
-        self.slot[self.hash[back] >> self.shift] = back
+        places = self.hash[back] >> self.shift
+        self.slot[places] = back
+        self.crowded = np.bincount(places.astype(np.int64), minlength=1 << bits) > 1
 
     def find(self, t: Tokens) -> np.ndarray:
         """For each word and end of ``t`` its number in the list, or -1.  Words are compared byte by byte."""
@@ -139,8 +218,8 @@ class Lookup:
                 n = n[ok]
                 same[a + np.flatnonzero(ok)] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
         got[~same] = -1
-        # words that lost their slot to another of the list
-        lost = np.flatnonzero(~same)
+        # words that may have lost their slot to another of the list
+        lost = np.flatnonzero(~same & self.crowded[t.word_hash >> self.shift])
         if len(lost):
             get = self.number.get
             got[lost] = [get(t.data[a:z], -1) for a, z in zip(t.begin[lost].tolist(), t.until[lost].tolist())]
