@@ -122,6 +122,8 @@ def word_table(texts: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(counts.groupBy("word", "key").agg(F.sum("c").alias("c")))
 
 
+#: Texts whose sums travel as one array.
+BLOCK = 1024
 #: What a row met in scoring is of.
 TEXT, WORD, ARRAYS = 0, 1, 2
 #: What a pair found once has a row for: a held-out text holds it, or tasks hold neither of its words.
@@ -490,8 +492,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     scratch.drop(pairs, cells, words, model.u, model.w_table)
     _free(spark)
 
-    names, fields = ["id", "held_out", "n_tokens", "known", "base", "s"], ["row", "key", "word", "beside", "info", "m", "x"]
-    info_kind = f"struct<id:{field_type(docs, id_col)},held_out:boolean,n_tokens:long,known:long,base:double,s:double>"
+    summed = ["block", "at", "id", "m", "known", "base", "s"]
+    fields, id_kind = ["row", "key", "word", "beside", "id", "m", "x"], field_type(docs, id_col)
 
     def rows_of(texts, out, first, lookup):
         """The rows of some texts: one for each text and each of its words that tasks do not hold; and the pairs not held.
@@ -537,33 +539,33 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         base_row, lookup = TaskContext.get().partitionId() << 36, Lookup(shared.value[0])
         row, asked, size = base_row, [], 0
 
-        def questions(info_type):
+        def questions(id_type):
             at, key, m, texts = in_arrays(base_row, *map(np.concatenate, zip(*asked)))
-            return pa.RecordBatch.from_arrays([at, key, *(pa.nulls(len(at), x) for x in (pa.binary(), pa.int64(), info_type)), m, texts], names=fields)
+            return pa.RecordBatch.from_arrays([at, key, *(pa.nulls(len(at), x) for x in (pa.binary(), pa.int64(), id_type)), m, texts], names=fields)
 
         for batch in batches:
-            ids, out, start = batch.column(0), batch.column(2), 0
-            flags = out.to_numpy(zero_copy_only=False).astype(bool)
+            ids, start = batch.column(0), 0
+            flags = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for texts in column_slices(batch.column(1)):
                 m = len(texts)
                 (tokens, known, base, s), (word_at, words, beside), (pair_at, b, priced) = rows_of(texts, flags[start : start + m], row, lookup)
-                info = pa.StructArray.from_arrays([ids.slice(start, m), out.slice(start, m), *map(pa.array, (tokens, known, base, s))], names=names)
-                at, none = np.arange(row, row + m), pa.nulls(m, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(at), pa.array([NO_WORD] * m, pa.binary()), pa.array(np.zeros(m, np.int64)), info, none, none], names=fields)
+                facts = np.column_stack([flags[start : start + m], tokens, known, base, s]).astype(float)
+                at, facts = np.arange(row, row + m), blobs(facts.reshape(-1), np.arange(m + 1) * facts.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(at), pa.array([NO_WORD] * m, pa.binary()), pa.array(np.full(m, -1)), ids.slice(start, m), facts, pa.nulls(m, pa.binary())], names=fields)
                 hash_, chars, offsets = words
                 for a in range(0, len(hash_), 100_000):
                     to, ends = slice(a, a + 100_000), offsets[a : a + 100_001]
                     part, none = binary_column(chars[ends[0] : ends[-1]], ends - ends[0]), pa.nulls(len(ends) - 1, pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(word_at[to]), pa.array(hash_[to].view(np.int64)), part, pa.array(beside[to]), pa.nulls(len(part), info.type), none, none], names=fields)
+                    yield pa.RecordBatch.from_arrays([pa.array(word_at[to]), pa.array(hash_[to].view(np.int64)), part, pa.array(beside[to]), pa.nulls(len(part), ids.type), none, none], names=fields)
                 # the text's number and, in the last bit, whether the pair is priced as found once
                 asked.append((b, ((row - base_row + pair_at) << 1 | priced).astype(np.uint32)))
                 size += len(b)
                 if size >= PAIRS:
-                    yield questions(info.type)
+                    yield questions(ids.type)
                     asked, size = [], 0
                 row, start = row + m, start + m
         if size:
-            yield questions(info.type)
+            yield questions(ids.type)
 
     def answered(rows):
         """Texts and what the pairs of one class add to them."""
@@ -583,15 +585,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     def meet(batches):
         """Priced texts, words and pairs, summed by text as far as a fixed number of them are held."""
         over_p, v_ = (np.concatenate([[0.0], x, [y]]) for x, y in ((shared.value[3], 0.0), (shared.value[4], start_v)))
-        names, held, size, class_, key = ["row", "info", "known", "base", "s"], [], 0, [], None
+        held, size, class_, key = [], 0, [], None
 
-        def flushed(info_type):
+        def flushed(id_type):
             row, known, base, s = map(np.concatenate, zip(*held))
             at, where = np.unique(row, return_inverse=True)
-            sums = [np.bincount(where, x, len(at)) for x in (known, base, s)]
-            for a in range(0, len(at), 100_000):
-                to = slice(a, a + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(at[to]), pa.nulls(len(at[to]), info_type), pa.array(sums[0][to].astype(np.int64)), pa.array(sums[1][to]), pa.array(sums[2][to])], names=names)
+            known, base, s = (np.bincount(where, x, len(at)) for x in (known, base, s))
+            block = at // BLOCK
+            bounds = np.append(np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])), len(at))
+            sums = [blobs(x, bounds) for x in ((at % BLOCK).astype(np.uint16), known, base, s)]
+            block = block[bounds[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.full(len(block), -1)), pa.nulls(len(block), id_type), *sums], names=summed)
 
         def of_class():
             for row, s in answered(class_):
@@ -602,8 +606,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             row, kind = batch.column("row"), batch.column("kind").to_numpy()
             of_text, of_word = (pa.array(kind == k) for k in (TEXT, WORD))
             if of_text.true_count:
-                info = batch.column("info").filter(of_text)
-                yield pa.RecordBatch.from_arrays([row.filter(of_text), info, *(info.field(x) for x in ("known", "base", "s"))], names=names)
+                some = batch.filter(of_text)
+                at, none = some.column("row").to_numpy(), pa.nulls(len(some), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(at // BLOCK), pa.array(at % BLOCK), some.column("id"), some.column("m"), none, none, none], names=summed)
             if of_word.true_count:
                 some = batch.filter(of_word)
                 seen = some.column("c").is_valid().to_numpy(zero_copy_only=False)
@@ -619,24 +624,53 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                     class_, key = [], k
                 class_.append((row[i].as_py(), *(batch.column(x)[i] for x in ("m", "x", "once"))))
             if size >= PAIRS:
-                yield from flushed(batch.column("info").type)
+                yield from flushed(batch.column("id").type)
                 held, size = [], 0
         size += sum(of_class())
         if size:
-            yield from flushed(batch.column("info").type)
+            yield from flushed(batch.column("id").type)
+
+    def total(batches):
+        """A row for each text, from the rows of its block of texts."""
+        names, texts, sums, last = ["id", "held_out", "n_tokens", "n_known", "base_score", "score"], [], np.zeros((3, BLOCK)), None
+
+        def closed():
+            t = pa.Table.from_batches(texts).combine_chunks()
+            at, facts = t.column("at").to_numpy(), np.frombuffer(b"".join(t.column("m").to_pylist())).reshape(len(t), 5)
+            known, base, s = facts[:, 2:].T + sums[:, at]
+            columns = [facts[:, 0] > 0, facts[:, 1].astype(np.int64), np.rint(known).astype(np.int64), base, s]
+            return pa.RecordBatch.from_arrays([t.column("id").combine_chunks(), *map(pa.array, columns)], names=names)
+
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else []
+            for a, z in zip(starts, [*starts[1:], len(block)]):
+                if block[a] != last:
+                    if texts:
+                        yield closed()
+                    texts, last = [], block[a]
+                    sums[:] = 0.0
+                part = batch.slice(a, z - a)
+                of_text = part.column("at").to_numpy() >= 0
+                if of_text.any():
+                    texts.append(part.filter(pa.array(of_text)))
+                for i in np.flatnonzero(~of_text).tolist():
+                    at = np.frombuffer(part.column("m")[i].as_buffer(), np.uint16)
+                    for k, name in enumerate(("known", "base", "s")):
+                        sums[k, at] += np.frombuffer(part.column(name)[i].as_buffer())
+        if texts:
+            yield closed()
 
     # one sort by a long for words and classes of pairs: words are told apart by themselves, the other rows meet nothing
-    rows = d.mapInArrow(score, f"row long, key long, word binary, beside long, info {info_kind}, m binary, x binary").unionByName(prices, allowMissingColumns=True)
+    rows = d.mapInArrow(score, f"row long, key long, word binary, beside long, id {id_kind}, m binary, x binary").unionByName(prices, allowMissingColumns=True)
     rows = rows.repartition(partitions(spark), "key").sortWithinPartitions("key")
     # as a case: Spark would take a plain equality as a further key to shuffle and sort by
     same = F.when(F.col("word").isNotNull(), F.col("word") == F.col("word_"))
     met = rows.join(priced, (F.col("key") == F.col("key_")) & same, "left")
-    kind = F.when(F.col("info").isNotNull(), TEXT).when(F.col("word").isNotNull(), WORD).otherwise(ARRAYS)
-    met = met.select("row", "key", kind.alias("kind"), "beside", "info", "m", "x", "once", "c", "p", "y", "v")
-    one = met.mapInArrow(meet, f"row long, info {info_kind}, known long, base double, s double")
-    scores = scratch.save(one.groupBy("row").agg(
-        F.max("info.id").alias("id"), F.max("info.held_out").alias("held_out"), F.max("info.n_tokens").alias("n_tokens"),
-        F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("s").alias("score"),
-    ))
+    kind = F.when(F.col("beside").isNull(), ARRAYS).when(F.col("beside") < 0, TEXT).otherwise(WORD)
+    met = met.select("row", "key", kind.alias("kind"), "beside", "id", "m", "x", "once", "c", "p", "y", "v")
+    one = met.mapInArrow(meet, f"block long, at long, id {id_kind}, m binary, known binary, base binary, s binary")
+    one = one.repartition("block").sortWithinPartitions("block")
+    scores = scratch.save(one.mapInArrow(total, f"id {id_kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
     scratch.drop(priced, prices)
     return scores.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
