@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 CLASS = 1 << 20
 _BY = 0x9E3779B97F4A7C15
 _BACK = np.uint64(pow(_BY, -1, 1 << 64))
+_BY_32 = 0x9E3779B1
+_BACK_32 = np.uint64(pow(_BY_32, -1, 1 << 32))
 
 
 def spread(b: np.ndarray) -> np.ndarray:
@@ -26,6 +28,20 @@ def unspread(m: np.ndarray) -> np.ndarray:
     return m * _BACK
 
 
+def spread_key(k: np.ndarray) -> np.ndarray:
+    """Keys of 32 bits, in longs, spread over these bits."""
+    return (k * np.uint64(_BY_32)) & np.uint64(0xFFFFFFFF)
+
+
+def unspread_key(m: np.ndarray) -> np.ndarray:
+    return (m * _BACK_32) & np.uint64(0xFFFFFFFF)
+
+
+def class_edges(classes: int) -> np.ndarray:
+    """Where the classes of spread keys begin, and the end of all."""
+    return np.array([-(-(k << 32) // classes) for k in range(classes + 1)], np.uint64)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,14 +1,16 @@
 """LM scoring with a hierarchical Pitman-Yor model whose restaurants grow with the corpus.
 
 Every word has a restaurant with a customer for each pair that begins with it; the parent all of them share is the root over
-all words.  Restaurants are tables of ``(pair, customers, tables)`` rows in Spark, so their number and size follow the corpus.
-A pair found once is one customer at a table of its own in every sweep; such pairs are counted with their context, and have
+all words.  Restaurants are ``(pair, customers, tables)`` in Spark tables, so their number and size follow the corpus; in sweeps
+they lie and travel as arrays.  A pair found once is one customer at a table of its own in every sweep; such pairs are counted with their context, and have
 rows only where a score needs them.
 """
 
 from __future__ import annotations
 
 import gc
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.classes import blobs, class_count, class_keys, dealt, in_classes, partitions, spread, unspread, whole
+from edgeloom.llm.classes import blobs, class_count, class_keys, class_edges, dealt, in_classes, partitions, spread, spread_key, unspread, unspread_key, whole
 from edgeloom.llm.seating import draw, expected
 from edgeloom.llm.text import field_type, fold, text_bytes
 from edgeloom.llm.words import END, Counts, Lookup, Tokens, binary_column, column_hashes, column_slices, gathered, hashes_of
@@ -30,6 +32,8 @@ SWEEPS, BURN_IN = 3, 1
 STRENGTH = 1.0
 UNKNOWN = 0.5
 FLUSH, COMMON, PAIRS = 1_000_000, 32_768, 1_000_000
+#: Cells of a chunk and, about, keys of a class: what a task of a sweep holds at once.
+CHUNK, KEYS = 1 << 20, 1 << 18
 START = 0xFFFFFFFF
 #: Begins no UTF-8, so it is no word.
 NO_WORD = b"\xff"
@@ -199,19 +203,26 @@ def pair_table(texts: DataFrame, scratch: Scratch, solid: np.ndarray | None = No
     return pairs
 
 
-def seated(df: DataFrame, customers: str, weight: Column, seed: Column, d: float, name: str) -> DataFrame:
-    """``df`` with the drawn number of tables.  The random number is a hash of the row's key and the sweep, so a task that is
-    run again, or a table cut otherwise, gives the same draw."""
-    df = df.select("*", weight.alias("_weight"), seed.alias("_seed"))
-    keep = df.columns[:-2]
+def spark_hash(b: np.ndarray, number: int | None = None) -> np.ndarray:
+    """Spark's ``xxhash64`` of longs, or of longs and an int."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
 
-    def run(batches):
-        for b in batches:
-            u = ((b.column("_seed").to_numpy().view(np.uint64) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
-            t = draw(b.column(customers).to_numpy(), b.column("_weight").to_numpy(), u, d)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(t)], names=[*keep, name])
+    def mixed(h):
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
 
-    return df.mapInArrow(run, ", ".join(f"{c} {field_type(df, c)}" for c in keep) + f", {name} long")
+    h = mixed(turn((np.uint64(42 + 8) + p5) ^ (turn(b * p2, 31) * p1), 27) * p1 + p4)
+    if number is None:
+        return h
+    return mixed(turn((h + p5 + np.uint64(4)) ^ (np.array(number, np.uint64) * p1), 23) * p2 + p3)
+
+
+def uniform(b: np.ndarray, sweep: int) -> np.ndarray:
+    """The random numbers of some keys in a sweep: hashes of both, so a task that is run again, or cells cut otherwise, give the
+    same draws."""
+    return ((spark_hash(b, sweep) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
 
 
 class Root:
@@ -236,22 +247,27 @@ class Root:
         """Mean tables of words with ``c`` customers, at the strength that the present tables were drawn with."""
         return expected(c, np.full(len(c), self.opened), self.d)
 
-    def start(self, w: DataFrame) -> None:
-        """Takes the words of ``w`` out of the histogram and sets the discount."""
-        for r in w.groupBy(rung(F.col("sw") + F.col("cw")).alias("r")).count().collect():
-            self.steps[r["r"]] = max(self.steps.get(r["r"], 0) - r["count"], 0)
-        f = w.agg(*(F.count(F.when(F.col("c0") == k, 1)).alias(f"n{k}") for k in (1, 2))).first()
-        self.d = discount(f["n1"] + self.steps.get(1, 0), f["n2"] + self.steps.get(2, 0))
+    def start(self, steps: dict[int, int], one: int, two: int) -> None:
+        """Takes the words that have rows, by steps of their occurrences, out of the histogram and sets the discount; ``one`` and
+        ``two`` of them have so many customers."""
+        for r, count in steps.items():
+            self.steps[r] = max(self.steps.get(r, 0) - count, 0)
+        self.d = discount(one + self.steps.get(1, 0), two + self.steps.get(2, 0))
 
-    def close(self, w: DataFrame) -> Column:
-        """Sets the restaurant's totals from ``w(c0, t0, cw, tw)``; the predictive probability of its words."""
-        f = w.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("t0", "cw", "tw"))).first()
+    def close(self, t0: float, cw: float, tw: float) -> tuple[float, float, float]:
+        """Sets the restaurant's totals from the sums over its words' rows; with the figures returned ``predictive`` gives the
+        probability of each."""
         c, m = np.array([_count(r) for r in self.steps], np.int64), np.array(list(self.steps.values()), float)
         self.opened = self.opens
         rest = float(self.mean_tables(c) @ m) if len(c) else 0.0
-        self.total = self.n - f["cw"] + float(f["tw"])
-        self.tables = float(f["t0"]) + rest
-        return (F.col("c0") - F.lit(self.d) * F.col("t0") + F.lit(self.opens)) / F.lit(STRENGTH + self.total)
+        self.total = self.n - cw + tw
+        self.tables = t0 + rest
+        return self.d, self.opens, STRENGTH + self.total
+
+
+def predictive(c0: np.ndarray, t0: np.ndarray, closed: tuple[float, float, float]) -> np.ndarray:
+    d, opens, scale = closed
+    return (c0 - d * t0 + opens) / scale
 
 
 def _free(spark) -> None:
@@ -260,92 +276,335 @@ def _free(spark) -> None:
     spark._jvm.System.gc()
 
 
+#: A row of arrays that travels in sweeps: to a chunk of cells or a class of keys ``at``, from or for the other one ``by``.
+ROW = "at long, kind int, by long, p binary, q binary, r binary, s binary"
+#: To chunks: their cells, tables and the values they asked for.  To classes: occurrences of words, their keys, what is known of
+#: these in a sweep, which keys a chunk has, what its cells add to them.
+CELLS, TABLES, ANSWERS, NAMES, KEPT, SEATED, ASKS, SUMS = range(8)
+_FIELDS = [x.split()[0] for x in ROW.split(", ")]
+
+
+def _rows(at, kind: int, by, *arrays) -> pa.RecordBatch:
+    """Rows of ``ROW``; ``arrays`` are columns of bytes."""
+    n = len(arrays[0])
+    whole_ = lambda x: pa.array(np.broadcast_to(np.asarray(x, np.int64), n))
+    none = [pa.nulls(n, pa.binary())] * (4 - len(arrays))
+    return pa.RecordBatch.from_arrays([whole_(at), pa.array(np.full(n, kind, np.int32)), whole_(by), *arrays, *none], names=_FIELDS)
+
+
+def _one(values: np.ndarray) -> pa.Array:
+    values = np.ascontiguousarray(values).reshape(-1)
+    return blobs(values, np.array([0, len(values)]))
+
+
+def _array(x: pa.Scalar, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), kind)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[tuple]]]]:
+    """The rows of each ``at`` by their kind, as ``(by, p, q, r, s)``; rows come ordered."""
+    for at, kinds, by, *arrays in in_classes(b.select([0, *range(len(_FIELDS))]) for b in batches):
+        out = defaultdict(list)
+        for kind, *row in zip(kinds, by, *arrays):
+            out[kind.as_py()].append((row[0].as_py(), *row[1:]))
+        yield at[0].as_py(), out
+
+
+#: Rows of words' seats with sums over them.
+SUMMED = f"{ROW}, t0 double, cw double, tw double"
+
+
+def _summed(row: pa.RecordBatch, *sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*row.columns, *(pa.array([float(x.sum())]) for x in sums)], names=[*_FIELDS, "t0", "cw", "tw"])
+
+
 class Restaurants:
-    """``seats(b, c, su, sw, t, ts)``: pairs found twice or more with their customers, their context's and their word's
-    occurrences in pairs found once, tables now and summed over the kept sweeps.  A pair found once is a customer at a table of
+    """Pairs found twice or more with their customers and tables.  A pair found once is a customer at a table of
     its own in its context and, like every table, a customer in the root: its seat is never drawn, so ``su`` counts both the
-    customers and the tables of a context's pairs found once.  A sweep reseats the customers of every cell given the other
-    cells' tables of the sweep before, as distributed Gibbs samplers do.
+    customers and the tables of a context's pairs found once, ``sw`` a word's occurrences in such pairs.  A sweep reseats the
+    customers of every cell given the other cells' tables of the sweep before, as distributed Gibbs samplers do.
 
-    ``cells(b, c, su, t, ts)`` has the pairs found once as well, those that ``pairs.once`` has; no customers are without a
-    cell then, ``su`` is 0."""
+    Cells lie in chunks, arrays of a fixed size; contexts and words in classes of their keys.  In a sweep each chunk sends a class
+    the sums over its cells of the keys it has there, and is sent values of these keys; cells stay in their chunks, and a
+    frequent word is one number for each chunk.  What chunks have of which class does not change.
+
+    ``cells(b, c, su, t, ts)`` has the tables now and summed over the kept sweeps, of the pairs found once as well, those that
+    ``pairs.once`` has; no customers are without a cell then, ``su`` is 0."""
 
     def __init__(self, pairs: DataFrame, table: DataFrame, scratch: Scratch, n: int, v: int, n_texts: int, steps: dict[int, int]):
-        self.scratch, self.n = scratch, n
+        self.scratch, self.n, self.n_texts = scratch, n, n_texts
+        self.parts = partitions(scratch.spark)
+        self.edges = class_edges(max(min(self.parts, 64), -(-v // KEYS)))
         f = pairs.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count(F.when(F.col("c") == 2, 1)).alias("two")).first()
         self.d = discount(n - f["c"], f["two"])
         self.root = Root(n, v, dict(steps))
-        names = table.groupBy("key").agg(F.sum("c").alias("n"))
-        cells = pairs.select("b", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("ts"))
-        u, w = self._by(cells, "t")
-        u = u.join(names, F.col("u") == F.col("key"), "left").withColumn("su", F.coalesce("n", F.lit(n_texts)) - F.col("cu")).drop("key", "n")
-        w = w.join(names, F.col("w") == F.col("key")).withColumn("sw", F.col("n") - F.col("cw")).drop("key", "n")
+        self.chunks = self._chunks(pairs)
+        self.keys = self._keys(table)
+        self._start()
+        tables = None
         for sweep in range(SWEEPS):
-            cells, old = self._sweep(cells, u, w, sweep), cells
-            scratch.drop(old)
+            seated = self._seated(tables, sweep)
+            tables, old = self._reseated(seated, tables, sweep), tables
+            scratch.drop(seated, old)
             _free(scratch.spark)
-            u, w = self._by(cells, "t")
-        self.seats, self.u, self.w_table, self.p = cells, *self._average(cells)
-        self.w = self.w_table.select("w", self.p.alias("p"))
-        self.n_texts, none = n_texts, F.lit(0).cast("long").alias("su")
-        self.cells = cells.select("b", "c", none, "t", "ts").unionByName(
+        self.tables = tables
+        self.u, self.w, self.averaged, self.closed = self._average()
+        none = F.lit(0).cast("long").alias("su")
+        self.cells = self._unpacked().select("b", "c", none, "t", "ts").unionByName(
             pairs.once.select("b", F.lit(1).cast("long").alias("c"), none, F.lit(1).cast("long").alias("t"), F.lit(SWEEPS - BURN_IN).cast("long").alias("ts"))
         )
 
-    def _by(self, cells: DataFrame, t: str) -> tuple[DataFrame, DataFrame]:
-        """Contexts and words of the cells, with their customers and tables."""
-        once = [F.max(c).alias(c) for c in ("su", "sw") if c in cells.columns]
-        u = cells.groupBy(F.shiftrightunsigned("b", 32).alias("u")).agg(F.sum("c").alias("cu"), F.sum(t).alias("tu"), *once[:1])
-        w = cells.groupBy(F.col("b").bitwiseAND(F.lit(LOW)).alias("w")).agg(F.sum("c").alias("cw"), F.sum(t).alias("tw"), *once[1:])
-        return u, w
-
-    def _joined(self, cells: DataFrame, u: DataFrame, w: DataFrame) -> DataFrame:
-        cells = cells.drop("su", "sw").withColumns({"u": F.shiftrightunsigned("b", 32), "w": F.col("b").bitwiseAND(F.lit(LOW))})
-        return cells.join(u, "u").join(w, "w")
-
-    def _sweep(self, cells: DataFrame, u: DataFrame, w: DataFrame, sweep: int) -> DataFrame:
-        root, d = self.root, self.d
-        w = w.withColumn("c0", F.col("sw") + F.col("tw"))
-        if not sweep:
-            w = self.scratch.save(w)
-            root.start(w)
-        kept = w if not sweep else None
-        w = self.scratch.save(seated(w, "c0", F.lit(root.opens), F.xxhash64("w", F.lit(sweep)), root.d, "t0"))
-        self.scratch.drop(kept)
-        w_p = w.select("w", "sw", root.close(w).alias("p"))
-        opens = (F.lit(STRENGTH) + F.lit(d) * (F.col("su") + F.col("tu"))) * F.col("p")
-        x = self._joined(cells.drop("t"), u, w_p).select("b", "c", "su", "sw", "ts", opens.alias("opens"))
-        x = seated(x, "c", F.col("opens"), F.xxhash64("b", F.lit(sweep)), d, "t")
-        out = self.scratch.save(x.select("b", "c", "su", "sw", "t", (F.col("ts") + (F.col("t") if sweep >= BURN_IN else 0)).alias("ts")))
-        self.scratch.drop(w)
-        return out
-
-    def _average(self, cells: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
-        """Contexts with their share of the root ``back`` and words with ``p``, from the tables averaged over the kept sweeps."""
-        kept, root = F.lit(float(SWEEPS - BURN_IN)), self.root
-        u, w = self._by(cells, "ts")
-        all_, tables = F.lit(STRENGTH) + F.col("su") + F.col("cu"), F.col("su") + F.col("tu") / kept
-        u = self.scratch.save(u.select("u", all_.alias("all"), ((F.lit(STRENGTH) + F.lit(self.d) * tables) / all_).alias("back")))
-        d, opens = root.d, root.opens
-        w = w.select("w", "sw", "cw", (F.col("tw") / kept).alias("tw")).withColumn("c0", F.col("sw") + F.col("tw"))
-
-        def mean(batches):
-            for b in batches:
-                c0 = b.column("c0").to_numpy()
-                t0 = expected(np.maximum(np.rint(c0), 1), np.full(len(c0), opens), d)
-                yield pa.RecordBatch.from_arrays([b.column("w"), b.column("cw"), b.column("tw"), b.column("c0"), pa.array(t0)], names=["w", "cw", "tw", "c0", "t0"])
+    def drop_seats(self) -> None:
+        self.scratch.drop(self.chunks, self.keys, self.tables, self.averaged)
+
+    def _sent(self, *rows: DataFrame) -> DataFrame:
+        """Rows at the task of their chunk or class, ordered."""
+        all_ = rows[0]
+        for r in rows[1:]:
+            all_ = all_.unionByName(r)
+        part = F.pmod("at", F.lit(self.parts)).cast("int")
+        return all_.withColumn("part", part).repartitionById(self.parts, "part").drop("part").sortWithinPartitions("at", "kind", "by")
+
+    def _of(self, table: DataFrame, *kinds: int) -> DataFrame:
+        return table.filter(F.col("kind").isin(*kinds)).select(*_FIELDS)
+
+    def _chunks(self, pairs: DataFrame) -> DataFrame:
+        """Cells in chunks, ordered by context; and which keys each has of which class, in the order of classes, with the
+        customers and the number of its cells there."""
+        most, edges = CHUNK, self.edges
+
+        def keys_of_chunk(m, c):
+            """``m`` ordered: bounds of the classes, different keys and their sums; and each cell's place among them."""
+            is_first = np.concatenate([[True], m[1:] != m[:-1]])
+            first = np.flatnonzero(is_first)
+            sums = np.column_stack([np.add.reduceat(c, first), np.diff(np.append(first, len(m)))])
+            return np.searchsorted(m[first], edges), m[first], sums, (np.cumsum(is_first) - 1).astype(np.int32)
+
+        def chunk(at, held):
+            b, c = map(np.concatenate, zip(*held))
+            b = b.view(np.uint64)
+            u = spread_key(b >> np.uint64(32))
+            order = np.argsort((u << np.uint64(32)) | (b & np.uint64(LOW)))
+            b, c = b[order], c[order]
+            u_bounds, u, u_sums, of_u = keys_of_chunk(u[order], c)
+            w = spread_key(b & np.uint64(LOW))
+            order, of_w = np.argsort(w), np.empty(len(w), np.int32)
+            w_bounds, w, w_sums, of_w[order] = keys_of_chunk(w[order], c[order])
+            yield _rows(at, CELLS, 0, *map(_one, (b, c, of_u, of_w)))
+            small = [blobs(x.astype(np.uint32), bounds) for x, bounds in ((u, u_bounds), (w, w_bounds))]
+            sums = [blobs(x.reshape(-1), 2 * bounds) for x, bounds in ((u_sums, u_bounds), (w_sums, w_bounds))]
+            yield _rows(np.arange(len(edges) - 1), ASKS, at, *small, *sums)
+
+        def run(batches):
+            held, size, at = [], 0, TaskContext.get().partitionId()
+            for batch in batches:
+                held.append([x.to_numpy() for x in batch.columns])
+                size += len(batch)
+                if size >= most:
+                    yield from chunk(at, held)
+                    held, size, at = [], 0, at + (1 << 32)
+            if size:
+                yield from chunk(at, held)
+
+        return self.scratch.save(pairs.select("b", "c").mapInArrow(run, ROW))
+
+    def _keys(self, table: DataFrame) -> DataFrame:
+        """For each class its contexts ``(su, cu, tu)`` and words ``(sw, cw, tw)`` with a table for each cell, and where in these
+        the keys of each chunk are."""
+        edges, n_texts = self.edges, self.n_texts
+
+        def names(batches):
+            held, size = [], 0
+
+            def packed():
+                m, n = map(np.concatenate, zip(*held))
+                order = np.argsort(m)
+                m, bounds = m[order], np.searchsorted(m[order], edges)
+                return _rows(np.arange(len(edges) - 1), NAMES, 0, blobs(m.astype(np.uint32), bounds), blobs(n[order], bounds))
+
+            for batch in batches:
+                held.append((spread_key(batch.column(0).to_numpy().view(np.uint64)), batch.column(1).to_numpy()))
+                size += len(batch)
+                if size >= PAIRS:
+                    yield packed()
+                    held, size = [], 0
+            if size:
+                yield packed()
 
-        w = self.scratch.save(w.mapInArrow(mean, "w long, cw long, tw double, c0 double, t0 double"))
-        p = root.close(w)
-        return u, w, p
+        def joined(batches):
+            for at, rows in _met(batches):
+                if not rows[ASKS]:
+                    continue
+                name = np.concatenate([_array(r[1], np.uint32) for r in rows[NAMES]] or [np.zeros(0, np.uint32)])
+                n = np.concatenate([_array(r[2]) for r in rows[NAMES]] or [np.zeros(0, np.int64)])
+                name, where = np.unique(name, return_inverse=True)
+                n = np.append(np.bincount(where, n, len(name)).astype(np.int64), n_texts)
+                keys, facts, places = [], [], []
+                for i in (1, 2):
+                    parts = [_array(r[i], np.uint32) for r in rows[ASKS]]
+                    key, place = np.unique(np.concatenate(parts), return_inverse=True)
+                    sums = np.concatenate([_array(r[i + 2]).reshape(-1, 2) for r in rows[ASKS]])
+                    c, t = (np.bincount(place, sums[:, k], len(key)).astype(np.int64) for k in (0, 1))
+                    found = np.searchsorted(name, key)
+                    # the start of a text is no word: it occurs once in each
+                    found[np.append(name, 0)[found] != key] = len(name)
+                    keys.append(_one(key))
+                    facts.append(_one(np.stack([n[found] - c, c, t])))
+                    places.append(blobs(place.astype(np.int32), np.cumsum([0, *map(len, parts)])))
+                yield _rows(at, KEPT, 0, *keys, *facts)
+                yield _rows(at, ASKS, [r[0] for r in rows[ASKS]], *places)
+
+        words = table.select("key", "c").mapInArrow(names, ROW)
+        return self.scratch.save(self._sent(words, self._of(self.chunks, ASKS)).mapInArrow(joined, ROW))
+
+    def _start(self) -> None:
+        def steps(batches):
+            for batch in batches:
+                for facts in batch.column(0):
+                    sw, cw, tw = _array(facts).reshape(3, -1)
+                    n, count = np.unique(sw + cw, return_counts=True)
+                    few = [int((sw + tw == k).sum()) for k in (1, 2)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.append(n, [-1, -2])), pa.array(np.append(count, few))], names=["n", "count"])
+
+        got = self._of(self.keys, KEPT).select("s").mapInArrow(steps, "n long, count long")
+        got = got.groupBy(F.when(F.col("n") < 0, F.col("n")).otherwise(rung(F.col("n"))).alias("r")).agg(F.sum("count").alias("count"))
+        found = {r["r"]: r["count"] for r in got.collect()}
+        one, two = found.pop(-1, 0), found.pop(-2, 0)
+        self.root.start(found, one, two)
+
+    @staticmethod
+    def _now(rows: dict[int, list[tuple]]) -> Iterator[np.ndarray]:
+        """Of a class the facts of contexts and words, with the tables that chunks have now."""
+        ((_, *_, u, w),) = rows[KEPT]
+        new = {r[0]: r for r in rows[SUMS]}
+        for i, facts in ((1, u), (2, w)):
+            facts = _array(facts).reshape(3, -1).copy()
+            if new:
+                facts[2] = 0
+                for r in rows[ASKS]:
+                    # a key is there once in a chunk
+                    facts[2, _array(r[i], np.int32)] += _array(new[r[0]][i])
+            yield facts
+
+    def _seated(self, tables: DataFrame | None, sweep: int) -> DataFrame:
+        """For each class the strength of each context and the customers and drawn tables of each word in the root."""
+        d, (opens, root_d) = self.d, (self.root.opens, self.root.d)
+
+        def seat(batches):
+            for at, rows in _met(batches):
+                (su, _, tu), (sw, cw, tw) = Restaurants._now(rows)
+                c0 = sw + tw
+                w = unspread_key(_array(rows[KEPT][0][2], np.uint32).astype(np.uint64))
+                t0 = draw(c0, np.full(len(c0), opens), uniform(w, sweep), root_d)
+                yield _summed(_rows(at, SEATED, 0, _one(STRENGTH + d * (su + tu)), _one(np.stack([c0, t0]).astype(float))), t0, cw, tw)
+
+        rows = self._of(self.keys, KEPT) if tables is None else self._sent(self._of(self.keys, KEPT, ASKS), self._of(tables, SUMS))
+        return self.scratch.save(rows.mapInArrow(seat, SUMMED))
+
+    def _answers(self, seated: DataFrame, width: int, closed: tuple[float, float, float]) -> DataFrame:
+        """For each chunk the ``width`` values of its contexts and the probability in the root of its words."""
+
+        def answer(batches):
+            for at, rows in _met(batches):
+                u, w = _array(rows[SEATED][0][1], float).reshape(width, -1).T, predictive(*_array(rows[SEATED][0][2], float).reshape(2, -1), closed)
+                out = []
+                for i, values in ((1, u), (2, w[:, None])):
+                    places = [_array(r[i], np.int32) for r in rows[ASKS]]
+                    out.append(blobs(values[np.concatenate(places)].reshape(-1), np.cumsum([0, *map(len, places)]) * values.shape[1]))
+                yield _rows([r[0] for r in rows[ASKS]], ANSWERS, at, *out)
+
+        return self._sent(self._of(self.keys, ASKS), self._of(seated, SEATED)).mapInArrow(answer, ROW)
+
+    def _reseated(self, seated: DataFrame, tables: DataFrame | None, sweep: int) -> DataFrame:
+        """The tables of the cells of each chunk, now and summed over the kept sweeps, and what they add to the keys of each class."""
+        closed, d, last = self._closed(seated), self.d, sweep == SWEEPS - 1
+
+        def reseat(batches):
+            for at, rows in _met(batches):
+                ((_, b, c, of_u, of_w),) = rows[CELLS]
+                b, c, of_u, of_w = _array(b, np.uint64), _array(c), _array(of_u, np.int32), _array(of_w, np.int32)
+                u, w = ([_array(r[i], float) for r in rows[ANSWERS]] for i in (1, 2))
+                t = draw(c, np.concatenate(u)[of_u] * np.concatenate(w)[of_w], uniform(b, sweep), d)
+                ts = _array(rows[TABLES][0][2]) if rows[TABLES] else np.zeros(len(t), np.int64)
+                ts = ts + t if sweep >= BURN_IN else ts
+                yield _rows(at, TABLES, 0, _one(t), _one(ts))
+                sums = []
+                for of, parts in ((of_u, u), (of_w, w)):
+                    bounds = np.cumsum([0, *map(len, parts)])
+                    sums.append(blobs(np.bincount(of, ts if last else t, bounds[-1]).astype(np.int64), bounds))
+                yield _rows([r[0] for r in rows[ANSWERS]], SUMS, at, *sums)
+
+        rows = [self._answers(seated, 1, closed), self._of(self.chunks, CELLS), *([] if tables is None else [self._of(tables, TABLES)])]
+        return self.scratch.save(self._sent(*rows).mapInArrow(reseat, ROW))
+
+    def _closed(self, seated: DataFrame) -> tuple[float, float, float]:
+        f = seated.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("t0", "cw", "tw"))).first()
+        return self.root.close(f["t0"], f["cw"], f["tw"])
+
+    def _average(self) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float, float]]:
+        """Contexts ``(u, all, back)`` with their share of the root and words ``(w, p)``, from the tables averaged over the kept
+        sweeps; both as arrays too, and the root's figures."""
+        kept, d, (opens, root_d) = float(SWEEPS - BURN_IN), self.d, (self.root.opens, self.root.d)
+
+        def average(batches):
+            for at, rows in _met(batches):
+                (su, cu, tu), (sw, cw, tw) = Restaurants._now(rows)
+                all_, tw = STRENGTH + su + cu, tw / kept
+                back, c0 = (STRENGTH + d * (su + tu / kept)) / all_, sw + tw
+                t0 = expected(np.maximum(np.rint(c0), 1), np.full(len(c0), opens), root_d)
+                keys = [_one(_array(x, np.uint32)) for x in rows[KEPT][0][1:3]]
+                yield _summed(_rows(at, SEATED, 0, _one(np.stack([all_, back])), _one(np.stack([c0, t0])), *keys), t0, cw, tw)
+
+        averaged = self.scratch.save(self._sent(self._of(self.keys, KEPT, ASKS), self._of(self.tables, SUMS)).mapInArrow(average, SUMMED))
+        closed = self._closed(averaged)
+
+        def keys(x):
+            return pa.array(unspread_key(_array(x, np.uint32).astype(np.uint64)).view(np.int64))
+
+        def contexts(batches):
+            for batch in batches:
+                for x, key in zip(*batch.columns):
+                    all_, back = _array(x, float).reshape(2, -1)
+                    yield pa.RecordBatch.from_arrays([keys(key), pa.array(all_), pa.array(back)], names=["u", "all", "back"])
+
+        def words(batches):
+            for batch in batches:
+                for x, key in zip(*batch.columns):
+                    yield pa.RecordBatch.from_arrays([keys(key), pa.array(predictive(*_array(x, float).reshape(2, -1), closed))], names=["w", "p"])
+
+        u = self.scratch.save(averaged.select("p", "r").mapInArrow(contexts, "u long, all double, back double"))
+        w = self.scratch.save(averaged.select("q", "s").mapInArrow(words, "w long, p double"))
+        return u, w, averaged, closed
+
+    def _unpacked(self) -> DataFrame:
+        """``(b, c, t, ts)``."""
+
+        def run(batches):
+            for _, rows in _met(batches):
+                (_, b, c, *_), (_, t, ts, *_) = rows[CELLS][0], rows[TABLES][0]
+                yield pa.RecordBatch.from_arrays([pa.array(_array(x)) for x in (b, c, t, ts)], names=["b", "c", "t", "ts"])
+
+        return self._sent(self._of(self.chunks, CELLS), self._of(self.tables, TABLES)).mapInArrow(run, "b long, c long, t long, ts long")
 
     def priced_pairs(self) -> DataFrame:
         """``(b, c, x, once)`` of pairs found twice or more: what a pair adds to the log10 probability that its context and word
         have apart, and what it would add if it were found once."""
-        t = F.col("ts") / F.lit(float(SWEEPS - BURN_IN))
-        p = (F.col("c") - F.lit(self.d) * t) / F.col("all") + F.col("back") * F.col("p")
-        x = self._joined(self.seats, self.u, self.w)
-        return self.scratch.save(x.select("b", "c", (F.log10(p) - F.log10(F.col("back") * F.col("p"))).alias("x"), F.log10(1 + F.lit(1 - self.d) / (F.col("all") * F.col("back") * F.col("p"))).alias("once")))
+        d, kept = self.d, float(SWEEPS - BURN_IN)
+
+        def price(batches):
+            for _, rows in _met(batches):
+                ((_, b, c, of_u, of_w),), ((_, _, ts, *_),) = rows[CELLS], rows[TABLES]
+                u, w = (np.concatenate([_array(r[i], float) for r in rows[ANSWERS]]) for i in (1, 2))
+                b, c, ts, of_u = _array(b), _array(c), _array(ts), _array(of_u, np.int32)
+                (all_, back), p = u.reshape(-1, 2).T, w[_array(of_w, np.int32)]
+                all_, lower = all_[of_u], back[of_u] * p
+                x = np.log10((c - d * (ts / kept)) / all_ + lower) - np.log10(lower)
+                once = np.log10(1 + (1 - d) / (all_ * lower))
+                for a in range(0, len(b), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(y[a : a + 100_000]) for y in (b, c, x, once)], names=["b", "c", "x", "once"])
+
+        rows = self._answers(self.averaged, 2, self.closed), self._of(self.chunks, CELLS), self._of(self.tables, TABLES)
+        return self.scratch.save(self._sent(*rows).mapInArrow(price, "b long, c long, x double, once double"))
 
     def priced_words(self, table: DataFrame) -> DataFrame:
         """``(word, key, c, p, y, v, hash)``: probability in the root, log10 share of the root in the word's own restaurant, and what a
@@ -398,13 +657,7 @@ def pair_map(pairs: DataFrame) -> np.ndarray:
 
 def map_place(b: np.ndarray) -> np.ndarray:
     """Spark's ``xxhash64`` of a long, modulo the map."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
-    h = (np.uint64(42 + 8) + p5) ^ (turn(b * p2, 31) * p1)
-    h = turn(h, 27) * p1 + p4
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return (h ^ (h >> np.uint64(32))) & np.uint64(MAP_BITS - 1)
+    return spark_hash(b) & np.uint64(MAP_BITS - 1)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, held: int = HELD, held_pairs: int = HELD_PAIRS) -> DataFrame:
@@ -437,7 +690,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     pair_steps = {r["r"]: r["count"] for r in pairs.groupBy(rung(F.col("c")).alias("r")).count().collect()}
     model = Restaurants(pairs, table, scratch, n, v, facts["texts"], steps)
     cells, words = model.priced_pairs(), model.priced_words(table)
-    scratch.drop(model.seats, table)
+    model.drop_seats()
+    scratch.drop(table)
     _free(spark)
     unknown, (share, start_v) = float(np.log10(model.root.unknown)), model.start()
     base_log = float(np.log10(n + v + 1)) if n + v else 0.0
@@ -489,7 +743,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     prices = cells.filter(~top).select("b", "x", "once").unionByName(once.select("b", "x", F.col("x").alias("once")))
     prices = scratch.save(prices.mapInArrow(pack, "row long, key long, m binary, x binary, once binary"))
-    scratch.drop(pairs, cells, words, model.u, model.w_table)
+    scratch.drop(pairs, cells, words, model.u, model.w)
     _free(spark)
 
     summed = ["block", "at", "id", "m", "known", "base", "s"]
